@@ -34,6 +34,9 @@ ONES = {w: i for i, w in enumerate("zeroth first second third fourth fifth sixth
 TENS = {w: 10 * (i + 2) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())}
 TENTHS = {w: 10 * (i + 2) for i, w in enumerate("twentieth thirtieth fortieth fiftieth sixtieth seventieth eightieth ninetieth".split())}
 
+#: Words before "at" or alone at the start that lead to a site and are no part of it.
+LEAD = re.compile(r"^\s*(?:(?:the|vacant|located|lot|land|property|site|parcel|premises|address:?|approx\w*|situated|project)\s+)+at\s+")
+
 FORM = "addr string, place string, form long, kind string, number string, street string, other string, type string, type2 string, direction string, city string, corner string"
 
 
@@ -83,7 +86,7 @@ def parse(address: str | None, place: str | None, cities: dict[str, str], states
     text = re.sub(r"#\s*", " # ", text)
     text = text.replace("n/a", " ").replace("/c", " ").replace(".", " ").replace("'", "")
     city = None
-    flat = re.sub(r"\s+", " ", text)
+    flat = LEAD.sub(" ", re.sub(r"\s+", " ", text))
     if m := re.match(r"\s*(?:address:?|approx\w*)?\s*([a-z ]+),? ([a-z]{2,12}) - (?=.*[a-z0-9])", flat):  # "City, ST - street"
         if (name := m[1].strip()) in cities:
             city, flat = name, flat[m.end():]
@@ -100,13 +103,15 @@ def parse(address: str | None, place: str | None, cities: dict[str, str], states
     corner = {"northeast": "ne", "northwest": "nw", "southeast": "se", "southwest": "sw"}.get(corner or "", corner)
     place = plain(place).strip() if place else None
     city = city or place or None
-    if m := re.search(r"\s(?:&|and|at|@)\s|/", flat):
+    if (m := re.search(r"\s(?:&|and|at|@)\s|/", flat)) and re.match(r"\s*\d+[a-z]? [a-z]", flat[m.end():]):
+        flat, m = flat[m.end():], None  # words, then "at" and a numbered address
+    if m:
         sides = []
         for part in (flat[: m.start()], flat[m.end():]):
             words = [t for t in re.findall(r"[a-z0-9]+(?:-[a-z]+)?", part) if t not in CORNERS and t not in NOISE]
             words = [t for t in words if t not in states]
             sides.append(street_part(words) if words else ("", None, None))
-        if all(s[0] for s in sides):
+        if all(s[0] and not re.match(r"\d+[a-z]", s[0]) for s in sides):
             sides.sort(key=lambda s: s[0])
             return {"kind": "corner", "number": None, "street": sides[0][0], "other": sides[1][0], "type": sides[0][1], "type2": sides[1][1], "direction": None, "city": city, "corner": corner}
     words = re.findall(r"#|[a-z0-9]+(?:-[a-z]+)?", re.split(r"\bformerly\b", flat)[0])

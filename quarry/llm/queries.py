@@ -6,10 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import addresses, survivors
+from quarry.llm import addresses, entity_match, name_variants, survivors
 from quarry.session import load
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of a lead and a finding about its applicant."""
+    return p1_matches(spark, sf).select("lead_id", "match_id")
+
+
+def p1_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pairs with the confidence of each."""
+    return entity_match.matches(entity_match.leads_of(load(spark, sf, "opportunity")), entity_match.findings_of(load(spark, sf, "identity_match")))
+
+
+def name_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return name_variants.rows_of(load(spark, sf, "opportunity"), load(spark, sf, "pud871_opportunity"), load(spark, sf, "applicant_enrichment"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of rows whose name fields denote the same person or organisation in different writings."""
+    return name_variants.found(name_rows(spark, sf))
+
+
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of every row that names somebody."""
+    return name_variants.classes(name_rows(spark, sf)).where("entity is not null").select("id", "entity")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of rows of opportunity and pud871_opportunity at the same site."""
     return addresses.found(addresses.rows_of(load(spark, sf, "opportunity"), load(spark, sf, "pud871_opportunity")))
@@ -26,7 +50,7 @@ def p6_survivors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p6_found, p6_survivors)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p3_found, p3_classes, p5_found, p6_found, p6_survivors)}
 
 
 P6_KEYED = r"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import addresses, entity_match, name_variants, survivors
+from quarry.llm import addresses, bpe, entity_match, mixing, name_variants, spam, survivors
 from quarry.session import load
 
 
@@ -49,8 +50,41 @@ def p6_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return survivors.survivors(load(spark, sf, "contact_candidate"))
 
 
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The token ids of every document."""
+    return bpe.encode(load(spark, sf, "documents"))
+
+
+def p7_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents there are, and how many come back from their ids unchanged."""
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    back = bpe.decode(bpe.encode(docs)).withColumnRenamed("text", "back")
+    same = F.count_if(F.coalesce("text", F.lit("")) == F.col("back"))
+    return docs.join(back, "doc_id").agg(F.count("*").alias("documents"), same.alias("unchanged"))
+
+
+def p8_uses(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the mix uses each document."""
+    return mixing.mixed(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share that each source holds of the mix."""
+    return mixing.mixed(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that are spam."""
+    return spam.found(load(spark, sf, "documents"))
+
+
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The list density of every document and the part of it that other hosts repeat."""
+    return spam.scores(load(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_matches, p3_found, p3_classes, p5_found, p6_found, p6_survivors)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p3_found, p3_classes, p5_found, p6_found, p6_survivors, p7_ids, p7_round_trip, p8_uses, p8_shares, p9_found, p9_scores)}
 
 
 P6_KEYED = r"""
@@ -73,6 +107,7 @@ WITH named AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_round_trip": "SELECT count(*) AS documents, count(*) AS unchanged FROM documents",
         "p6_found": P6_KEYED
         + """
 SELECT DISTINCT

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import addresses, bpe, entity_match, mixing, name_variants, spam, survivors
+from quarry.llm import addresses, bpe, entity_match, mixing, name_variants, pii, spam, survivors
 from quarry.session import load
 
 
@@ -21,6 +21,20 @@ def p1_matches(spark: SparkSession, sf: str) -> DataFrame:
     return entity_match.matches(entity_match.leads_of(load(spark, sf, "opportunity")), entity_match.findings_of(load(spark, sf, "identity_match")))
 
 
+#: The key of the surrogates; a deployment passes its own secret to pii.redacted.
+SURROGATE_KEY = "demonstration key"
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Occurrences of personal data in the evidence texts and snippets."""
+    return pii.items(pii.texts_of(load(spark, sf, "investigation_evidence"), load(spark, sf, "identity_evidence"))).select("evidence_id", "pii_type", "start_pos")
+
+
+def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts with typed placeholders and with surrogates."""
+    return pii.redacted(pii.texts_of(load(spark, sf, "investigation_evidence"), load(spark, sf, "identity_evidence")), SURROGATE_KEY)
+
+
 def name_rows(spark: SparkSession, sf: str) -> DataFrame:
     return name_variants.rows_of(load(spark, sf, "opportunity"), load(spark, sf, "pud871_opportunity"), load(spark, sf, "applicant_enrichment"))
 
@@ -84,7 +98,7 @@ def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_matches, p3_found, p3_classes, p5_found, p6_found, p6_survivors, p7_ids, p7_round_trip, p8_uses, p8_shares, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_redacted, p3_found, p3_classes, p5_found, p6_found, p6_survivors, p7_ids, p7_round_trip, p8_uses, p8_shares, p9_found, p9_scores)}
 
 
 P6_KEYED = r"""

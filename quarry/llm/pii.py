@@ -47,13 +47,15 @@ BORNE = set(
 LEADS = set("signed sincerely regards respectfully attention attn trustee dear thanks by from owner applicant agent contact tenant resident neighbor witness respectively also and or commissioner member chair".split())
 STOP = set("the a an of and or to in on at by for with from is are was were be has have had this that it not no never said asked wrote".split())
 
+DIGIT = re.compile(r"[0-9]")
 WORD_END = r"(?![\w])"
 EMAIL = re.compile(
     r"(?<![\w.+%-])[\w.+%'-]+(?:\s?@\s?|\s?[\[(]\s?at\s?[\])]\s?)[A-Za-z0-9-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[A-Za-z0-9-]+)+", re.I)
 PHONE = re.compile(r"(?<![\w.+/-])(?<!\d[ .-])(?:\+?1[ .-]?\(\d{3}\)\s?|\+1[ .-]?\d{3}[ .-]?|1[ .-]\d{3}[ .-]|\(\d{3}\)\s?|[2-9]\d{2}[ .-]?)[2-9]\d{2}[ .-]?\d{4}(?![\w]|[.-]\d|[ -]\d{3})")
 NOT_PHONE = re.compile(r"(?:invoice|account|acct|meter|entry|receipt|parcel|record|webinar id|meeting id|id|case|permit|serial|book|page)\s*(?:no\.?|number|#|:)?\s*$", re.I)
 SSN = re.compile(r"(?<![\w-])(\d{3})([- ])\d{2}\2\d{4}(?![\w-])")
-BARE_ID = re.compile(r"(?:\bssn|social security(?: number| no\.?)?|taxpayer[^.\d]{0,24}|not show the number|itin|\btin)\s*[:#]?\s*(\d{9})(?!\d)", re.I)
+BARE_ID = re.compile(r"(?<![\w-])\d{9}(?![\w-])")
+ID_LABEL = re.compile(r"(?:\bssn|social security(?: number| no\.?)?|taxpayer[^.\d]{0,24}|not show the number|\bitin|\btin)\s*[:#]?\s*$", re.I)
 DOCUMENT = re.compile(r"\b(?:passports?|driver'?s?'? licen[cs]e|driving licen[cs]e|\bdl)\s*(?:no\.?|number|num\.?|#|:)?\s*[:#]?\s*([A-Z]{0,2} ?\d[\dA-Z]{3,9}(?:-[\dA-Z]{3,6}){0,3})(?![\w])", re.I)
 DIRECTION = r"(?:[NSEW]\.?|No\.?|So\.?|North|South|East|West)"
 BOX = re.compile(r"(?<!\w)(?:P\.?\s?O\.?\s?|Post Office )Box\s+#?\d+", re.I)
@@ -107,27 +109,28 @@ def detect(text: str | None) -> list[tuple[str, int, int]]:
         for m in EMAIL.finditer(text):
             a = m.start() + len(m[0]) - len(m[0].lstrip("'.-"))
             found.append(("email", a, m.end()))
-    digits = any(map(text.__contains__, "0123456789"))
-    if digits:
-        for m in BOX.finditer(text):
+    low = text.lower()
+    if len(low) != len(text):  # a few letters change their length with their case
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    if DIGIT.search(text):
+        for m in BOX.finditer(text) if "box" in low else ():
             found.append(("address", m.start(), AFTER_BOX.match(text, m.end()).end()))
         for m in STREET.finditer(text):
             words = m[0].lower().split()[1:]
             if free(m.start(), m.end()) and STOP.isdisjoint(words) and len(words) >= 2:
                 found.append(("address", m.start(), AFTER_STREET.match(text, m.end()).end()))
-        for p in (DOCUMENT, BARE_ID):
-            for m in p.finditer(text):
-                if free(m.start(1), m.end(1)):
-                    found.append(("id_number", m.start(1), m.end(1)))
+        for m in DOCUMENT.finditer(text) if "passport" in low or "licen" in low or "dl" in low else ():
+            if free(m.start(1), m.end(1)):
+                found.append(("id_number", m.start(1), m.end(1)))
+        for m in BARE_ID.finditer(text):
+            if ID_LABEL.search(text, max(0, m.start() - 48), m.start()) and free(m.start(), m.end()):
+                found.append(("id_number", m.start(), m.end()))
         for m in SSN.finditer(text):
             if free(m.start(), m.end()):
                 found.append(("id_number", m.start(), m.end()))
         for m in PHONE.finditer(text):
             if free(m.start(), m.end()) and not NOT_PHONE.search(text, max(0, m.start() - 24), m.start()):
                 found.append(("phone", m.start(), m.end()))
-    low = text.lower()
-    if len(low) != len(text):  # a few letters change their length with their case
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     names: list[tuple[int, int]] = []
     n = len(text)
     for a, b, kind in anchored()(low):

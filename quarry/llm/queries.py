@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import addresses, bpe, entity_match, mixing, name_variants, pii, spam, survivors
+from quarry.llm import addresses, bpe, entity_match, mixing, name_variants, ocr, pii, spam, survivors
 from quarry.session import load
 
 
@@ -49,6 +49,16 @@ def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
     return name_variants.classes(name_rows(spark, sf)).where("entity is not null").select("id", "entity")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of scanned texts that carry a defect, and which."""
+    return ocr.defects(load(spark, sf, "parsed_document"))
+
+
+def p4_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts as continuous paragraphs."""
+    return ocr.repaired(load(spark, sf, "parsed_document"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of rows of opportunity and pud871_opportunity at the same site."""
     return addresses.found(addresses.rows_of(load(spark, sf, "opportunity"), load(spark, sf, "pud871_opportunity")))
@@ -98,7 +108,7 @@ def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_redacted, p3_found, p3_classes, p5_found, p6_found, p6_survivors, p7_ids, p7_round_trip, p8_uses, p8_shares, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_redacted, p3_found, p3_classes, p4_found, p4_repaired, p5_found, p6_found, p6_survivors, p7_ids, p7_round_trip, p8_uses, p8_shares, p9_found, p9_scores)}
 
 
 P6_KEYED = r"""

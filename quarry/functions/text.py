@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from quarry import constants as K
 
-NONE = F.lit(None).cast("string")
-
 
 def collapse(c: Column) -> Column:
     """Runs of white space and NUL as one blank, none at the ends."""

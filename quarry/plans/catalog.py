@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarry.plans import queue_queries  # noqa: F401  (importing a module registers its queries)
+from quarry.plans.registry import Query, query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(query.queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(query.sql)

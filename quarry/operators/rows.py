@@ -101,8 +101,8 @@ def blocks(df: DataFrame, keys: list[str], order: list[str], opens: Column) -> D
 def sessions(df: DataFrame, keys: list[str], at: str, order: list[str], gap_seconds: int) -> DataFrame:
     """df with session: rows of a key without a longer gap between them share one."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    seconds = F.unix_timestamp(F.col(at).cast("timestamp"))
-    return blocks(df.withColumn("_gap", seconds - F.lag(seconds).over(w)), keys, order, F.col("_gap").isNull() | (F.col("_gap") > gap_seconds)).withColumnRenamed("block", "session").drop("_gap")
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    return blocks(df.withColumn("_gap", micros - F.lag(micros).over(w)), keys, order, F.col("_gap").isNull() | (F.col("_gap") > gap_seconds * 1_000_000)).withColumnRenamed("block", "session").drop("_gap")
 
 
 def zero_filled(counts: DataFrame, key: str, count: str, levels: list[str]) -> DataFrame:

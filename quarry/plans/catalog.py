@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import queue_queries  # noqa: F401  (importing a module registers its queries)
+from quarry.plans import queue_queries, row_queries, text_queries  # noqa: F401  (importing a module registers its queries)
 from quarry.plans.registry import Query, query
 
 

@@ -22,7 +22,7 @@ def anchors(pages: DataFrame, base: str) -> DataFrame:
     """(url, title, kind, day) of the anchors of listing pages (html): relative links are put under base, the last of equal URLs stays."""
     tag = r'(?is)<a\s[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
     found = pages.select(F.posexplode(F.arrays_zip(F.regexp_extract_all("html", F.lit(tag), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(tag), F.lit(2)).alias("label"))).alias("n", "a"))
-    url = F.when(F.col("a.href").rlike(r"^[a-z]+://"), F.col("a.href")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(F.lit("/"), F.col("a.href"))))
+    url = F.when(F.col("a.href").rlike(r"^[a-z]+://"), F.col("a.href")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(F.col("a.href"), F.lit("/"))))
     title = T.without_markup(F.col("a.label"))
     kind = F.when(F.lower(title).contains("agenda"), "agenda").otherwise("previous_versions")
     rows = found.select("n", url.alias("url"), title.alias("title"), kind.alias("kind"))

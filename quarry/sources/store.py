@@ -76,14 +76,10 @@ class Table:
             raise OSError(f"could not switch {self.path} to {name}")
 
     def upsert(self, changes: DataFrame, key: str, *order) -> Status:
-        """Put the last change of every key in place; keyless changes are skipped and counted on the way."""
-        from pyspark.sql import Observation
-
-        seen = Observation()
-        watched = changes.observe(seen, F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("keyless"))
+        """Put the last change of every key in place; keyless changes are skipped and counted."""
+        got = changes.agg(F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("keyless")).first()
         base = self.read() if self.current() or self.schema is not None else changes.limit(0)
-        self.replace(R.upsert(base, watched, key, *order))
-        got = seen.get
+        self.replace(R.upsert(base, changes, key, *order))
         return Status("synced", got["n"] - got["keyless"], got["keyless"])
 
     def append_versions(self, new: DataFrame, key: str, *order) -> DataFrame:

@@ -27,9 +27,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and go on from there; survives the loss of executors."""
+    """Write df once to the shared checkpoint folder and go on from there; survives the loss of executors.
+
+    The result carries no size estimate: estimates made before the rows existed can be far too small, and
+    the planner would broadcast by them. Without one, a side is broadcast only after its shuffle has
+    shown its true size.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    jdf = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
 
 
 def local_session(cores: int | None = None, name: str = "quarry") -> SparkSession:

@@ -137,8 +137,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", folder
     per_doc = met.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("w", "ids"))).alias("m"))
     known = lambda w: F.array(rank_of(F.hex(F.encode(w, "UTF-8")), literal))
     ids = F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at("m", w), known(w))))
-    # the map is searched first only where the document has unknown words at all
-    return docs.join(per_doc, "row", "left").select(F.col("k").alias(key), F.coalesce(F.when(F.col("m").isNull(), F.transform(words, lambda w: rank_of(F.hex(F.encode(w, "UTF-8")), literal))).otherwise(ids), F.array().cast("array<int>")).alias("ids"))
+    return docs.join(per_doc, "row", "left").select(F.col("k").alias(key), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
 
 
 def pieces_literal(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Column:

@@ -189,3 +189,41 @@ def display_money(spark: SparkSession, sf: str) -> DataFrame:
 def json_props(spark: SparkSession, sf: str) -> DataFrame:
     """Properties read tolerantly: whether they parse, and how many there are."""
     return load(spark, sf, "events").select("event_id", F.try_parse_json("props").isNotNull().alias("valid"), F.size(F.json_object_keys("props")).cast("bigint").alias("keys"))
+
+
+@query(f"""SELECT DISTINCT evidence_id, l[-1] AS last_email, l[1] AS first_email, CAST(len(l) AS BIGINT) AS written FROM (SELECT evidence_id, list_transform(regexp_extract_all(evidence_text, '{K.EMAIL}'), lambda x: lower(x)) AS l FROM investigation_evidence WHERE evidence_text IS NOT NULL) WHERE len(l) > 0""")
+def first_and_last_contact(spark: SparkSession, sf: str) -> DataFrame:
+    """The first and the last address that a text writes: who is named first, and whom it closes with."""
+    e = evidence(spark, sf).select("evidence_id", F.transform(T.all_matches(F.col("evidence_text"), K.EMAIL), F.lower).alias("l")).where(F.size("l") > 0)
+    return e.select("evidence_id", F.element_at("l", -1).alias("last_email"), F.get("l", 0).alias("first_email"), F.size("l").cast("bigint").alias("written"))
+
+
+@query(r"""SELECT DISTINCT evidence_id, regexp_extract(h, '^([0-9]{1,2})', 1) || ':' || coalesce(nullif(regexp_extract(h, ':([0-9]{2})', 1), ''), '00') || ' ' || CASE WHEN regexp_matches(lower(h), 'p[.]?m$') THEN 'PM' ELSE 'AM' END AS at
+FROM (SELECT evidence_id, regexp_extract(evidence_text, '(?i)\b([0-9]{1,2}(?::[0-9]{2})?) ?([ap])[.]?m\b', 0) AS h FROM investigation_evidence) WHERE h <> ''""")
+def times_of_day(spark: SparkSession, sf: str) -> DataFrame:
+    """The first time of day of every evidence text, in one form."""
+    return evidence(spark, sf).select("evidence_id", D.clock(F.col("evidence_text")).alias("at")).where("at is not null")
+
+
+@query("""SELECT lead_id, CAST(len(list_filter(friction_signals, lambda s: s IN ('denied', 'withdrawn', 'recommended_denial'))) AS BIGINT) AS severe, CAST(len(list_filter(friction_signals, lambda s: s NOT IN ('denied', 'withdrawn', 'recommended_denial'))) AS BIGINT) AS mild,
+  array_to_string(list_transform(list_sort(list_transform(list_filter(friction_signals, lambda s: s IS NOT NULL), lambda s: printf('%02d', coalesce(list_position(['denied','withdrawn','recommended_denial','tabled','continued','staff_concern','additional_information','amended','appeal','neighborhood_concern','public_opposition'], s), 99)) || s)), lambda s: s[3:]), ',') AS ordered
+FROM opportunity WHERE friction_signals IS NOT NULL""")
+def signals_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    """A lead's signals counted by severity and put in the order of dominance, inside the array."""
+    severe, order = F.array(*[F.lit(x) for x in ("denied", "withdrawn", "recommended_denial")]), F.array(*[F.lit(x) for x in K.SIGNALS])
+    rank = lambda s: F.coalesce(F.nullif(F.array_position(order, s), F.lit(0)), F.lit(99))
+    s = F.filter("friction_signals", lambda x: x.isNotNull())
+    ranked = F.transform(F.array_sort(F.transform(s, lambda x: F.struct(rank(x).alias("r"), x.alias("s")))), lambda x: x["s"])
+    count = lambda keep: F.size(F.filter(s, keep)).cast("bigint")
+    leads = load(spark, sf, "opportunity").where("friction_signals is not null")
+    return leads.select("lead_id", count(lambda x: F.array_contains(severe, x)).alias("severe"), count(lambda x: ~F.array_contains(severe, x)).alias("mild"), F.array_join(ranked, ",").alias("ordered"))
+
+
+@query(r"""WITH b AS (SELECT parsed_id, any_value(text) AS t FROM parsed_document WHERE text IS NOT NULL GROUP BY 1),
+l AS (SELECT parsed_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM b)
+SELECT parsed_id, CAST(n AS BIGINT) AS line_no, line FROM l WHERE regexp_matches(line, '^(STAFF ANALYSIS|FINDINGS OF FACT|BACKGROUND|RECOMMENDATION|Public Comment|[IVX]+[.] .*|[0-9]+[.] [A-Z].*)$')""")
+def section_headings(spark: SparkSession, sf: str) -> DataFrame:
+    """The section headings of parsed files and their lines: the bounds of every section."""
+    d = load(spark, sf, "parsed_document").where("text is not null").select("parsed_id", "text").dropDuplicates(["parsed_id"])
+    lines = d.select("parsed_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).where(F.col("line").rlike(r"^(STAFF ANALYSIS|FINDINGS OF FACT|BACKGROUND|RECOMMENDATION|Public Comment|[IVX]+[.] .*|[0-9]+[.] [A-Z].*)$"))
+    return lines.select("parsed_id", (F.col("n") + 1).cast("bigint").alias("line_no"), "line")

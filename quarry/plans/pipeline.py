@@ -1,14 +1,15 @@
 """From packet texts to a ranked queue: the stages as one chain of transforms.
 
-packets (doc_id, text) -> items -> applications -> scoped signal events and dates -> leads -> queue.
+packets (doc_id, text) -> items -> own blocks -> applications -> scoped signal events and dates -> leads -> queue.
 Each stage adds columns or rows and none collects; the unit of parallel work is a document, then a
 document's item.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry import constants as K
 from quarry.functions import dates as D
@@ -16,10 +17,11 @@ from quarry.functions import text as T
 from quarry.operators import evidence as E
 from quarry.operators import rows as R
 from quarry.operators import signals as S
+from quarry.session import load
 
 #: Headings that open an item of an agenda.
 ITEM = r"(?:ITEM|Item) [0-9]+\b"
-#: What tells of a signal: kind and pattern, tried on every item's own text only.
+#: What tells of a signal: kind and pattern.
 PATTERNS = (
     ("denied", r"(?i)\b(?:was|were|ultimately|recommended and ultimately) denied\b"),
     ("recommended_denial", r"(?i)\brecommend(?:ed|s)? (?:a )?denial\b"),
@@ -31,9 +33,10 @@ PATTERNS = (
     ("additional_information", r"(?i)\badditional information\b"),
     ("neighborhood_concern", r"(?i)\bneighbou?r(?:s|hood)? (?:concerns?|objected)\b"),
     ("public_opposition", r"(?i)\b(?:spoke|letters?) in opposition\b"),
+    ("amended", r"(?i)\b(?:amended|revised) (?:application|request)\b|\bapplication was amended\b"),
 )
 #: Windows that are boilerplate drop a hit.
-BOILERPLATE = r"(?i)may be appealed|decisions? may be continued|public comment period"
+BOILERPLATE = r"(?i)may be appealed|decisions? may be continued|public comment period|possible motions and findings|may make any of the following findings"
 #: How a date's sentence labels it, by rank; the first that fits counts.
 LABELS = (
     ("deadline", 90, r"(?i)deadline|no later than|must be (?:filed|submitted) by|due by"),
@@ -45,57 +48,94 @@ OTHER_LABEL = ("other", 20)
 
 
 def items(packets: DataFrame) -> DataFrame:
-    """(doc_id, item, start, end, body) of the items of packets; a packet without headings is one item 0."""
+    """(doc_id, item, start, end, body) of the blocks of packets, item being the printed number.
+
+    The text before the first heading is a block without a number; a packet without headings is one item 0.
+    """
     found = E.item_blocks(packets, "doc_id", "text", ITEM)
-    cut = found.join(packets.select("doc_id", "text"), "doc_id").select("doc_id", "item", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("body"))
-    whole = packets.where(~F.col("text").rlike(ITEM)).select("doc_id", F.lit(0).cast("bigint").alias("item"), F.lit(0).cast("bigint").alias("start"), F.length("text").cast("bigint").alias("end"), F.col("text").alias("body"))
-    return cut.union(whole)
+    cut = found.join(packets.select("doc_id", "text"), "doc_id").select("doc_id", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("body"))
+    cut = cut.select("doc_id", F.regexp_extract("body", r"^(?:ITEM|Item) ([0-9]+)", 1).try_cast("bigint").alias("item"), "start", "end", "body")
+    head = F.regexp_extract("text", rf"(?s)^(.*?){ITEM}", 1)
+    none, at = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+    before = packets.where(F.col("text").rlike(ITEM)).select("doc_id", none.alias("item"), at.alias("start"), F.length(head).cast("bigint").alias("end"), head.alias("body")).where("end > 0")
+    whole = packets.where(~F.col("text").rlike(ITEM)).select("doc_id", at.alias("item"), at.alias("start"), F.length("text").cast("bigint").alias("end"), F.col("text").alias("body"))
+    return cut.union(before).union(whole)
+
+
+def own_blocks(scoped: DataFrame) -> DataFrame:
+    """(application_number, doc_id, start, body): for each application every block with the printed number of one that names it first.
+
+    An agenda's short entry and the staff report under the same number later both belong to the application.
+    A number that only the text before the first heading names has that text as its block.
+    """
+    number = F.nullif(F.regexp_extract("body", K.APPLICATION_NUMBER, 0), F.lit(""))
+    named = scoped.select(number.alias("application_number"), "doc_id", "item").where("application_number is not null").distinct()
+    numbered = named.where("item is not null").join(scoped, ["doc_id", "item"])
+    stray = named.where("item is null").join(named.where("item is not null"), "application_number", "left_anti").join(scoped.where("item is null").drop("item"), "doc_id")
+    cols = ("application_number", "doc_id", "start", "body")
+    return numbered.select(*cols).union(stray.select(*cols))
 
 
-def applications(scoped: DataFrame) -> DataFrame:
-    """One row per application number: its first item, applicant, address and description."""
+def applications(own: DataFrame) -> DataFrame:
+    """One row per application number: applicant, address and description, each as the first of its blocks that states it has it."""
     b = F.col("body")
-    got = scoped.select(
-        "doc_id", "item", "start", "body", F.nullif(F.regexp_extract(b, K.APPLICATION_NUMBER, 0), F.lit("")).alias("application_number"),
-        F.nullif(T.collapse(F.regexp_extract(b, r"(?i)([A-Z][\w.&' -]{2,80}?) requests?\b", 1)), F.lit("")).alias("applicant_name"),
-        F.nullif(T.collapse(F.regexp_extract(b, r"(?i)located at ([^.\n]+?)(?:\.|\n| in the )", 1)), F.lit("")).alias("project_address"),
-        F.nullif(T.collapse(F.regexp_extract(b, r"(?i)requests? ([^.]+)\.", 1)), F.lit("")).alias("description"),
-    )
-    return R.first_wins(got.where("application_number is not null"), F.col("application_number"), F.col("doc_id"), F.col("start"))
+    bare = F.regexp_replace(b, rf"{ITEM}|{K.APPLICATION_NUMBER}", "\n")  # else a heading on the same line would count as part of the name
+    stated = {
+        "applicant_name": F.nullif(T.collapse(F.regexp_extract(bare, r"(?i)([A-Z][\w.&' -]{2,80}?) requests?\b", 1)), F.lit("")),
+        "project_address": F.nullif(T.collapse(F.regexp_extract(b, r"(?i)located at ([^.\n]+?)(?:\.|\n| in the )", 1)), F.lit("")),
+        "description": F.nullif(T.collapse(F.regexp_extract(b, r"(?i)requests? ([^.]+)\.", 1)), F.lit("")),
+    }
+    got = own.select("application_number", "doc_id", "start", *[c.alias(n) for n, c in stated.items()])
+    return got.groupBy("application_number").agg(*[F.min_by(n, F.when(F.col(n).isNotNull(), F.struct("doc_id", "start"))).alias(n) for n in stated])
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """rows with position counted through all packets of their application, so that ties have one order."""
+    w = Window.partitionBy("application_number").orderBy("doc_id", "position")
+    return rows.withColumn("position", F.dense_rank().over(w)).drop("doc_id")
 
 
-def signal_events(apps: DataFrame) -> DataFrame:
-    """Signal events of each application's own item: kind, confidence, evidence, position; one per kind and date.
+def signal_events(scoped: DataFrame, own: DataFrame, apps: DataFrame) -> DataFrame:
+    """Signal events of each application: kind, confidence, evidence, position; one per kind and date.
 
-    One alternation of all patterns drops items without any hit before anything is exploded.
+    Its own blocks count by what their windows name. Elsewhere in its packets a hit counts only beside the
+    applicant's name or the address, and not as continued: the equi-join on the packet comes first, the
+    containment is the residual condition. Windows end at the block, so neighbouring items stay apart.
+    One alternation of all patterns drops blocks without any hit before anything is exploded.
     """
     any_of = "|".join(f"(?:{p})" for _, p in PATTERNS)
-    some = apps.where(F.col("body").rlike(any_of))
+    some = scoped.where(F.col("body").rlike(any_of))
     each = F.array(*[F.struct(F.lit(k).alias("kind"), T.positions(F.col("body"), p).alias("hits")) for k, p in PATTERNS])
-    rows = some.select("application_number", "applicant_name", "project_address", "body", F.explode(each).alias("x")).select("*", "x.kind", F.explode("x.hits").alias("h"))
+    rows = some.select("doc_id", "start", "body", F.explode(each).alias("x")).select("*", "x.kind", F.explode("x.hits").alias("h"))
     around = T.window_around(F.col("body"), F.col("h.start"), F.length("h.hit"), 350, 650)
-    near = rows.select("application_number", "applicant_name", "project_address", "kind", F.col("h.start").alias("position"), T.sentence_at(F.col("body"), F.col("h.start")).alias("sentence"), around.alias("window"))
-    near = near.where(~F.col("window").rlike(BOILERPLATE))
+    near = rows.select("doc_id", "start", "kind", (F.col("start") + F.col("h.start")).alias("position"), T.sentence_at(F.col("body"), F.col("h.start")).alias("sentence"), around.alias("window"))
+    near = near.where(~F.col("window").rlike(BOILERPLATE)).withColumn("window_key", T.match_key(F.col("window")))
+    here = own.select("application_number", "doc_id", "start", F.lit(True).alias("own"))
+    present = own.select("application_number", "doc_id").distinct().join(apps, "application_number")
+    both = near.join(present, "doc_id").join(here, ["application_number", "doc_id", "start"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    beside = lambda c: F.coalesce(F.contains("window_key", F.nullif(T.match_key(F.col(c)), F.lit(""))), F.lit(False))
+    both = both.withColumns({"applicant": beside("applicant_name"), "address": beside("project_address")}).where("own or (kind <> 'continued' and (applicant or address))")
     named = F.contains("window", "application_number")
-    applicant = F.coalesce(F.contains(T.match_key(F.col("window")), T.match_key(F.col("applicant_name"))), F.lit(False))
-    address = F.coalesce(F.contains(T.match_key(F.col("window")), T.match_key(F.col("project_address"))), F.lit(False))
-    confidence = F.least(F.lit(0.45) + F.when(named, 0.35).otherwise(0.0) + F.when(applicant, 0.15).otherwise(0.0) + F.when(address, 0.10).otherwise(0.0), F.lit(0.99))
+    confidence = F.least(F.lit(0.45) + F.when(named, 0.35).otherwise(0.0) + F.when(F.col("applicant"), 0.15).otherwise(0.0) + F.when(F.col("address"), 0.10).otherwise(0.0), F.lit(0.99))
+    elsewhere = F.greatest(confidence, F.when(F.col("address"), 0.80).otherwise(0.75))
     said = D.mentions(F.col("sentence"))
-    events = near.select("application_number", "kind", "position", F.col("window").alias("evidence"), F.round(confidence, 2).alias("confidence"), F.when(F.size(said) == 1, F.get(said, 0)).alias("event_date")).where("confidence >= 0.55")
-    return S.best_events(events, ["application_number", "kind", "event_date"], F.struct("confidence", F.length("evidence")), F.col("position"))
+    events = both.select("application_number", "doc_id", "kind", "position", F.col("window").alias("evidence"), F.round(F.when(F.col("own"), confidence).otherwise(elsewhere), 2).alias("confidence"), F.when(F.size(said) == 1, F.get(said, 0)).alias("event_date"))
+    return S.best_events(in_order(events.where("confidence >= 0.55")), ["application_number", "kind", "event_date"], F.struct("confidence", F.length("evidence")), F.col("position"))
 
 
-def project_dates(apps: DataFrame, reference: str) -> DataFrame:
-    """Dates of each application's own item, one per day: label, time, score and confidence."""
-    hits = E.hits(apps.select("application_number", "body"), "body", D.MENTION)
+def project_dates(scoped: DataFrame, own: DataFrame, reference: str) -> DataFrame:
+    """Dates of each application's own blocks and of the text before its packets' first heading, one per day: label, time, score and confidence."""
+    before = own.select("application_number", "doc_id").distinct().join(scoped.where("item is null").select("doc_id", F.col("start"), "body"), "doc_id")
+    texts = own.union(before.select(*own.columns)).distinct()
+    hits = E.hits(texts.withColumnRenamed("start", "block"), "body", D.MENTION)
     sentence, ref = T.sentence_at(F.col("body"), F.col("start")), F.lit(reference).cast("date")
-    rows = hits.select("application_number", "start", D.parse_date(F.col("hit")).alias("day"), sentence.alias("sentence")).where("day is not null")
+    rows = hits.select("application_number", "doc_id", (F.col("block") + F.col("start")).alias("position"), D.parse_date(F.col("hit")).alias("day"), sentence.alias("sentence")).where("day is not null")
     label, rank = F.lit(OTHER_LABEL[0]), F.lit(OTHER_LABEL[1])
     for name, r, pattern in reversed(LABELS):
         label, rank = F.when(F.col("sentence").rlike(pattern), name).otherwise(label), F.when(F.col("sentence").rlike(pattern), r).otherwise(rank)
-    rows = rows.select("*", label.alias("l"), rank.alias("r"), D.clock(F.col("sentence")).alias("tm"), D.is_future(F.col("day"), ref).alias("future"))
+    rows = in_order(rows).select("*", label.alias("l"), rank.alias("r"), D.clock(F.col("sentence")).alias("tm"), D.is_future(F.col("day"), ref).alias("future"))
     score = F.when(F.col("future"), 20).otherwise(0) + F.expr("r div 10")
-    out = S.resolve_groups(rows.withColumn("s", score), ["application_number", "day", "future"], F.col("l"), F.col("r"), F.col("s"), F.col("tm"), F.col("sentence"), F.col("start"))
+    out = S.resolve_groups(rows.withColumn("s", score), ["application_number", "day", "future"], F.col("l"), F.col("r"), F.col("s"), F.col("tm"), F.col("sentence"), F.col("position"))
     return out
 
 
@@ -104,7 +144,7 @@ def leads(apps: DataFrame, events: DataFrame, days: DataFrame, reference: str) -
     friction = S.score_by_key(events, ["application_number"], "kind", F.col("confidence"))
     ahead = days.where(F.col("future") & (F.col("label") != "deadline")).groupBy("application_number").agg(F.min(F.struct("day", "label", "time")).alias("n"))
     any_ahead = days.groupBy("application_number").agg(F.max("future").alias("future"))
-    base = R.with_defaults(apps.drop("body"), "application_number", {"score": F.lit(0), "signals": F.array().cast("array<string>"), "future": F.lit(False)}, friction, ahead, any_ahead)
+    base = R.with_defaults(apps, "application_number", {"score": F.lit(0), "signals": F.array().cast("array<string>"), "future": F.lit(False)}, friction, ahead, any_ahead)
     until = D.days_until(F.col("n.day"), F.lit(reference).cast("date"))
     critical = F.arrays_overlap("signals", F.array(*[F.lit(x) for x in ("denied", "withdrawn", "recommended_denial", "appeal")]))
     acts = F.coalesce(F.col("description").rlike(r"(?i)rezone|zone map|general plan|subdivision|variance|conditional use|planned unit"), F.lit(False))
@@ -117,5 +157,12 @@ def leads(apps: DataFrame, events: DataFrame, days: DataFrame, reference: str) -
 
 def run(packets: DataFrame, reference: str) -> DataFrame:
     """The whole chain; order the result with signals.queue_order where an order is shown."""
-    apps = applications(items(packets))
-    return leads(apps, signal_events(apps), project_dates(apps, reference), reference)
+    scoped = items(packets)
+    own = own_blocks(scoped)
+    apps = applications(own)
+    return leads(apps, signal_events(scoped, own, apps), project_dates(scoped, own, reference), reference)
+
+
+def packet_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """The chain over all documents; the reference date is given."""
+    return run(load(spark, sf, "documents").where("text is not null").select("doc_id", "text"), "2026-01-01")

@@ -142,6 +142,17 @@ def context_join(spark: SparkSession, sf: str) -> DataFrame:
     return o.join(d, "app").where(F.contains("text", "last")).select("lead_id", "evidence_id")
 
 
+@query("""WITH o AS (SELECT lead_id, upper(trim(application_number)) AS app, nullif(trim(regexp_replace(lower(applicant_name), '[^a-z0-9]+', ' ', 'g')), '') AS n, nullif(trim(regexp_replace(lower(project_address), '[^a-z0-9]+', ' ', 'g')), '') AS a FROM opportunity WHERE trim(application_number) <> ''),
+d AS (SELECT evidence_id, upper(trim(entity_identifier)) AS app, trim(regexp_replace(lower(any_value(evidence_text)), '[^a-z0-9]+', ' ', 'g')) AS t FROM investigation_evidence WHERE evidence_text IS NOT NULL AND trim(entity_identifier) <> '' GROUP BY 1, 2)
+SELECT o.lead_id, d.evidence_id FROM o JOIN d USING (app) WHERE contains(d.t, o.n) OR contains(d.t, o.a)""")
+def context_join_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence of an application whose text names the whole applicant or the address, for every lead; context_join tests the last word of longer names only."""
+    key = lambda c: F.nullif(T.match_key(F.col(c)), F.lit(""))
+    o = load(spark, sf, "opportunity").select("lead_id", T.record_key(F.col("application_number")).alias("app"), key("applicant_name").alias("name"), key("project_address").alias("address"))
+    d = evidence(spark, sf).where("evidence_text is not null").select("evidence_id", "app", T.match_key(F.col("evidence_text")).alias("text"))
+    return o.join(d, "app").where(F.contains("text", "name") | F.contains("text", "address")).select("lead_id", "evidence_id")
+
+
 @query("""WITH o AS (SELECT lead_id, upper(trim(application_number)) AS app, list_filter(list_distinct(string_split(trim(regexp_replace(lower(description), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: length(w) > 2) AS w FROM opportunity WHERE trim(application_number) <> '' AND description IS NOT NULL),
 d AS (SELECT doc_id, upper(trim(application_number)) AS app, list_filter(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: length(w) > 2) AS w FROM documents WHERE trim(application_number) <> '' AND text IS NOT NULL)
 SELECT o.lead_id, max(len(list_intersect(o.w, d.w)) / len(o.w)) AS relevance FROM o JOIN d USING (app) WHERE len(o.w) > 0 GROUP BY 1""")

@@ -64,16 +64,19 @@ def word_candidates(sigs: DataFrame) -> DataFrame:
 
 
 def name_keys(sigs: DataFrame, heads: DataFrame) -> DataFrame:
-    """(sig, key): a key per choice of candidates for all words of a name, in any order; initials are keyed with the last word."""
+    """(sig, key): a key per choice of candidates for all words of a name, in any order; initials are keyed with the last word.
+
+    The words as written are always a key. Another writing of a single word is one only from six letters on, as in aligned.
+    """
     variants = F.udf(lambda core, initials: [list(v) for v in N.merged(list(core))] if len(core) > 1 or not initials else [], "array<array<string>>")
     words = sigs.select("sig", F.posexplode(variants("core", "initials")).alias("v", "ws")).select("sig", "v", F.posexplode("ws").alias("p", "word"))
     sets = words.join(heads, "word").groupBy("sig", "v").agg(F.collect_list("heads").alias("sets"))
 
     @F.pandas_udf("array<string>")
     def combined(sets: pd.Series) -> pd.Series:
-        return pd.Series([sorted({" ".join(sorted(c)) for c in product(*s)}) for s in sets])
+        return pd.Series([sorted({" ".join(sorted(c)) for c in product(*s) if len(c) > 1 or len(c[0]) >= 6 or c[0] == s[0][0]}) for s in sets])
 
-    return sets.select("sig", F.explode(combined("sets")).alias("key")).where(F.length("key") >= 6).distinct()
+    return sets.select("sig", F.explode(combined("sets")).alias("key")).distinct()
 
 
 def initial_keys(sigs: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import permutations
 
 # Words that stand in for a name, legal forms, lines of business with their abbreviations, nicknames.
 FILLERS = {
@@ -185,13 +184,34 @@ def merged(core: list[str]) -> list[tuple[str, ...]]:
     return out
 
 
+def assigned(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
+    """Whether each word of a can have a near word of b of its own: a perfect matching by augmenting paths."""
+    options = [[j for j, q in enumerate(b) if near(p, q)] for p in a]
+    taken: dict[int, int] = {}
+
+    def place(i: int, tried: set[int]) -> bool:
+        for j in options[i]:
+            if j not in tried:
+                tried.add(j)
+                if j not in taken or place(taken[j], tried):
+                    taken[j] = i
+                    return True
+        return False
+
+    return len(a) == len(b) and all(options) and all(place(i, set()) for i in range(len(a)))
+
+
 def aligned(a: list[str], b: list[str]) -> bool:
-    """Whether some assignment pairs all words of a with all of b, each pair being near; split words may be run together."""
+    """Whether some assignment pairs all words of a with all of b, each pair being near; split words may be run together.
+
+    Equal words count whatever their length; a single word in another writing needs six letters.
+    """
+    if sorted(a) == sorted(b):
+        return True
     for x in merged(a):
         for y in merged(b):
-            if len(x) == len(y) and (len(x) > 1 or len(x[0]) >= 6) and len(x) <= 5:
-                if any(all(near(p, q) for p, q in zip(x, order, strict=True)) for order in permutations(y)):
-                    return True
+            if x == y or len(x) == len(y) and (len(x) > 1 or len(x[0]) >= 6) and assigned(x, y):
+                return True
     return False
 
 

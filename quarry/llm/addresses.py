@@ -177,11 +177,15 @@ def deletions(name: str, most: int) -> set[str]:
     return seen
 
 
+def second_keys(other: str | None) -> set[str]:
+    """What a corner's second street may be found under: at most one edit."""
+    return deletions(other or "", min(1, reach(other or "")))
+
+
 def block_keys(kind: str, number: str | None, street: str, other: str | None) -> list[str]:
     """Every combination of components under which a form of the same address may be found."""
     if kind == "corner":
-        a, b = deletions(street, min(1, reach(street))), deletions(other or "", min(1, reach(other or "")))
-        return [f"{x}|{other}" for x in a] + [f"{street}|{y}" for y in b - {other}]
+        return [f"{x}|{y}" for x in deletions(street, reach(street)) for y in second_keys(other)]
     return [f"{number}|{x}" for x in deletions(street, reach(street))]
 
 
@@ -259,7 +263,7 @@ def linked_forms(sites: DataFrame) -> DataFrame:
     def same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             ok = [
-                osa(s, t, min(reach(s), reach(t))) <= min(reach(s), reach(t)) and (k != "corner" or osa(o, q, 1) <= 1)
+                osa(s, t, min(reach(s), reach(t))) <= min(reach(s), reach(t)) and (k != "corner" or osa(o, q, 1) <= 1 and not second_keys(o).isdisjoint(second_keys(q)))
                 for k, s, t, o, q in zip(p["a_kind"], p["a_street"], p["b_street"], p["a_other"], p["b_other"], strict=True)
             ]
             yield p.loc[ok, ["a", "b"]]

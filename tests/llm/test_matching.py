@@ -101,3 +101,9 @@ def test_hyperplane_tables_find_near_names(spark):
     near = [(i, j) for i in range(len(keys)) for j in range(len(keys)) if float(vs[i] @ vs[j]) >= 0.9]
     assert sum(p in got for p in near) / len(near) >= 0.9
     assert table.where(F.col("sig") < 0).count() == 0
+
+
+def test_corners_meet_for_all_edits_that_are_compared(spark):
+    rows = [(1, "Klhaugh Rd & Stenrise Ave", "Ostley"), (2, "Kelhaaugh Rd & Stenrise Ave", "Ostley"), (3, "Kelhaugh Rd & Stenrise Ave", "Ostley"), (4, "Kelhaugh Rd & Stenrisse Ave", "Ostley"), (5, "Brookmont Rd & Stenrise Ave", "Ostley")]
+    got = {(r["left_id"], r["right_id"]) for r in A.found(spark.createDataFrame(rows, ADDR)).collect()}
+    assert got == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}

@@ -124,6 +124,15 @@ def state_overlay(spark: SparkSession, sf: str) -> DataFrame:
     return R.overlay(base, over, "k", ["name", "bal"])
 
 
+@query("""WITH o AS (SELECT s_suppkey AS k, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END AS bal FROM supplier)
+SELECT coalesce(c.c_custkey, o.k) AS k, coalesce(o.name, c.c_name) AS name, coalesce(o.bal, c.c_acctbal) AS bal FROM customer c FULL JOIN o ON o.k = c.c_custkey""")
+def state_overlay_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same overlay over the whole stored state; state_overlay leaves out odd keys."""
+    base = load(spark, sf, "customer").selectExpr("c_custkey AS k", "c_name AS name", "c_acctbal AS bal")
+    over = load(spark, sf, "supplier").selectExpr("s_suppkey AS k", "s_name AS name", "CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END AS bal")
+    return R.overlay(base, over, "k", ["name", "bal"])
+
+
 @query("""SELECT e.event_id, CAST(floor(epoch(min(f.ts))) AS BIGINT) AS next_at FROM events e
   LEFT JOIN events f ON f.user_id = e.user_id AND f.event_type <> e.event_type AND (f.ts > e.ts OR (f.ts = e.ts AND f.event_id > e.event_id)) GROUP BY e.event_id""")
 def interval_next_other(spark: SparkSession, sf: str) -> DataFrame:

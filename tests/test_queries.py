@@ -7,3 +7,8 @@ def test_context_counts_short_names_and_addresses(spark, small, tmp_path):
     spark.read.parquet(f"{small}/investigation_evidence.parquet").limit(1).selectExpr("* except (evidence_id, entity_identifier, evidence_text)", "7L as evidence_id", "'a1 ' as entity_identifier", f"'{text}' as evidence_text").write.parquet(f"{tmp_path}/investigation_evidence.parquet")
     got = catalog.queries()["context_join_whole"](spark, str(tmp_path)).collect()
     assert sorted(r["lead_id"] for r in got) == [1, 2, 3]
+
+
+def test_overlay_keeps_every_customer(spark, small):
+    keys = {r["k"] for r in catalog.queries()["state_overlay_whole"](spark, small).collect()}
+    assert keys >= {r["c_custkey"] for r in spark.read.parquet(f"{small}/customer.parquet").select("c_custkey").collect()}

@@ -176,6 +176,12 @@ def blob_digest(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("bigint").alias("bytes"), F.base64(F.encode(F.left("text", F.lit(12)), "UTF-8")).alias("head"))
 
 
+@query("""SELECT doc_id, sha256(text) AS digest, strlen(text) AS bytes, base64(encode(text)) AS payload FROM documents WHERE text IS NOT NULL""")
+def blob_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """Checksum, size in bytes and the whole payload encoded in one line; blob_digest encodes its first twelve characters only."""
+    return load(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("bigint").alias("bytes"), F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit("")).alias("payload"))
+
+
 @query("""SELECT lead_id, coalesce(regexp_matches(trim(applicant_name), '^[A-Z]([a-z''’-]+|[.])( +[A-Z]([a-z''’-]+|[.])){1,3}$'), false) AS person, coalesce(regexp_matches(applicant_name, '(?i)\\b(?:llc|l\\.l\\.c|inc|corp|corporation|company|lp|ltd|trust)\\b|[a-z] & [A-Z]|\\b(?:builders|holdings|homes|partners|properties|realty)$'), false) AS company FROM opportunity""")
 def name_shape(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a name is shaped like a person's or a company's."""

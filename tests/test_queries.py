@@ -12,3 +12,9 @@ def test_context_counts_short_names_and_addresses(spark, small, tmp_path):
 def test_overlay_keeps_every_customer(spark, small):
     keys = {r["k"] for r in catalog.queries()["state_overlay_whole"](spark, small).collect()}
     assert keys >= {r["c_custkey"] for r in spark.read.parquet(f"{small}/customer.parquet").select("c_custkey").collect()}
+
+
+def test_payload_decodes_to_the_whole_text(spark, small):
+    got = catalog.queries()["blob_payload"](spark, small)
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("text is not null").select("doc_id", "text")
+    assert got.join(docs, "doc_id").where("decode(unbase64(payload), 'UTF-8') = text").count() == docs.count() > 0

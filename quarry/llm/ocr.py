@@ -1,7 +1,7 @@
 """Problem 4: noise in text from scanned pages, found line by line and repaired.
 
-The corpus gives the words and page-edge lines that are common; skip-gram vectors are learned from a
-bounded sample of it. A rare word is linked to frequent words that a plausible misreading of glyphs
+The corpus gives the words and page-edge lines that are common; word vectors factorise how often
+common words stand together in all of it. A rare word is linked to frequent words that a plausible misreading of glyphs
 separates it from, and the context chooses among them. Words broken at line ends are rejoined, running
 headers, footers and page numbers are removed, and the rest is set as paragraphs.
 """
@@ -25,8 +25,8 @@ from quarry.session import cut
 COMMON, LEAST_DOCS = 0.001, 3
 #: A word is a misreading of a neighbour that is this many times as frequent.
 RATIO = 20
-#: Documents whose words train the vectors, at most; dimensions; window.
-SAMPLE_DOCS, DIM, WINDOW = 150, 24, 2
+#: Of the vectors: dimensions, window, rounds of the factorisation.
+DIM, WINDOW, ROUNDS = 24, 2, 4
 EDGE_TOP, EDGE_BOTTOM, LONGEST_EDGE = 4, 3, 64
 #: Furniture repeats on several pages in this share of the documents that have it at all.
 REPEATED = 0.5
@@ -110,28 +110,70 @@ def statistics(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(run, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def skip_gram(sentences: list[list[int]], size: int) -> np.ndarray:
-    """Vectors of the common words by skip-gram with negative sampling in batches; seeded."""
-    rng = np.random.default_rng(5)
-    inner, outer = (rng.standard_normal((size, DIM)) * 0.1).astype("float32"), np.zeros((size, DIM), "float32")
-    flat = [(s[i], s[j]) for s in sentences for i in range(len(s)) for j in range(max(0, i - WINDOW), min(len(s), i + WINDOW + 1)) if i != j]
-    if not flat:
-        return inner
-    pairs = np.array(flat, "int32")
-    rng.shuffle(pairs)
-    freq = np.bincount(pairs[:, 1], minlength=size) ** 0.75
-    drawn = rng.choice(size, size=(len(pairs), 3), p=freq / freq.sum()).astype("int32")
-    for a in range(0, len(pairs), 8192):
-        c, o = pairs[a : a + 8192, 0], np.concatenate([pairs[a : a + 8192, 1:], drawn[a : a + 8192]], 1)
-        v, u = inner[c], outer[o]
-        g = 1 / (1 + np.exp(-np.clip(np.einsum("bd,bnd->bn", v, u), -8, 8)))
-        g[:, 0] -= 1
-        v, u = v.copy(), u.copy()
-        for table, at, step in ((inner, c, np.einsum("bn,bnd->bd", g, u)), (outer, o.ravel(), (g[:, :, None] * v[:, None, :]).reshape(-1, DIM))):
-            # a word's steps of one batch are averaged over the root of their number, so frequent words stay bounded
-            n = np.bincount(at, minlength=size)
-            table -= np.stack([np.bincount(at, weights=step[:, k], minlength=size) for k in range(DIM)], 1) * (0.05 / np.sqrt(np.maximum(n, 1)))[:, None]
-    return inner / (np.linalg.norm(inner, axis=1, keepdims=True) + 1e-9)
+def together(texts: DataFrame, number: dict[str, int]) -> DataFrame:
+    """(a, b, n): how often two different numbered words stand within the window of each other in a paragraph, in both orders, over all texts.
+
+    Each word's rows lie in one partition in a fixed order, so sums over them repeat exactly.
+    """
+    size, gap = len(number), [-1] * WINDOW
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids: list[int] = []
+            for t in batch["text"]:
+                for p in re.split(r"\n\s*\n", t):
+                    ids += [number[w] for w in words_of(p) if w in number]
+                    ids += gap
+            x, keys = np.array(ids, "int64"), []
+            for d in range(1, WINDOW + 1):
+                p, q = x[:-d], x[d:]
+                ok = (p >= 0) & (q >= 0) & (p != q)
+                keys.append(np.minimum(p, q)[ok] * size + np.maximum(p, q)[ok])
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            yield pd.DataFrame({"key": key, "n": n})
+
+    counted = texts.where(F.length("text") > 0).select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    low, high = F.expr(f"key div {size}"), F.col("key") % size
+    both = counted.select(F.explode(F.array(F.struct(low.alias("a"), high.alias("b")), F.struct(high.alias("a"), low.alias("b")))).alias("p"), "n").select("p.a", "p.b", "n")
+    return both.repartition("a").sortWithinPartitions("a", "b")
+
+
+def factors(pairs: DataFrame, size: int) -> np.ndarray:
+    """Unit vectors of the words from the positive mutual information of all pairs, the matrix that skip-gram factorises.
+
+    Subspace iteration: each round multiplies the pairs, where they lie, with one column block; only
+    the words' vectors travel. A word that stands beside no other keeps a vector of zeros.
+    """
+    pairs = cut(pairs)
+    n = np.zeros(size)
+    for r in pairs.groupBy("a").agg(F.sum("n").alias("n")).collect():
+        n[r["a"]] = r["n"]
+    basis = np.linalg.qr(np.random.default_rng(5).standard_normal((size, min(DIM, size))))[0]
+    for _ in range(ROUNDS):
+        shared = pairs.sparkSession.sparkContext.broadcast((n, basis))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            n, basis = shared.value
+            out, seen = np.zeros_like(basis), np.zeros(len(n), bool)
+            for p in batches:
+                a, b = p["a"].to_numpy(), p["b"].to_numpy()
+                value = np.maximum(np.log(p["n"].to_numpy() * n.sum() / (n[a] * n[b])), 0)
+                seen[a] = True
+                for k in range(basis.shape[1]):
+                    out[:, k] += np.bincount(a, weights=value * basis[b, k], minlength=len(n))
+            at = np.flatnonzero(seen)
+            yield pd.DataFrame({"a": at, "v": [out[i].tobytes() for i in at]})
+
+        product = np.zeros_like(basis)
+        for r in pairs.mapInPandas(run, "a long, v binary").collect():
+            product[r["a"]] = np.frombuffer(bytes(r["v"]))
+        shared.destroy()
+        before, basis = basis, np.linalg.qr(product)[0]
+    small = before.T @ product
+    values, turned = np.linalg.eigh((small + small.T) / 2)
+    v = before @ turned * np.sqrt(np.abs(values))
+    v[n == 0] = 0
+    return (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)).astype("float32")
 
 
 def learn(texts: DataFrame, vectors: bool = True) -> tuple[dict, int, set, list, np.ndarray | None]:
@@ -147,15 +189,7 @@ def learn(texts: DataFrame, vectors: bool = True) -> tuple[dict, int, set, list,
     if vectors and words:
         names = sorted(w for w in words if w.isalpha())
         number = {w: i for i, w in enumerate(names)}
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rows = pd.concat([b for b in batches] or [pd.DataFrame({"h": [], "text": []})]).sort_values("h")
-            said = [[number[w] for w in words_of(p) if w in number] for t in rows["text"] for p in re.split(r"\n\s*\n", t)]
-            yield pd.DataFrame({"v": [skip_gram(said, len(names)).tobytes()]})
-
-        sample = texts.where(F.length("text") > 0).select(F.xxhash64("text").alias("h"), "text").dropDuplicates(["h"]).orderBy("h").limit(SAMPLE_DOCS)
-        blob = sample.repartition(1).mapInPandas(run, "v binary").first()
-        trained = np.frombuffer(bytes(blob["v"]), "float32").reshape(len(names), DIM) if names else None
+        trained = factors(together(texts, number), len(names)) if names else None
     return words, docs, edges, names, trained
 
 

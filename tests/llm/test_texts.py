@@ -155,3 +155,14 @@ def test_spam(spark):
     docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, url string")
     assert {r["doc_id"] for r in spam.found(docs).collect()} == set(range(len(SPAM)))
     assert spam.scores(docs).count() == len(rows) and spam.found(docs.limit(0)).count() == 0
+
+
+def test_vectors_come_from_all_documents(spark):
+    from quarry.llm import ocr
+
+    rows = [(i, "the council heard a plan for the road and the bridge today") for i in range(400)]
+    rows += [(1000 + i, f"the {w} fires clay bricks slowly") for i, w in enumerate(["kiln", "oven"] * 4)]
+    names, v = ocr.learn(spark.createDataFrame(rows, "parsed_id long, text string"))[3:]
+    of = {w: v[i] for i, w in enumerate(names)}
+    assert {"kiln", "oven", "bricks", "council"} <= set(of)
+    assert of["kiln"] @ of["oven"] > 0.9 > 0.5 > abs(of["kiln"] @ of["bridge"])

@@ -151,12 +151,23 @@ HAM = [
 
 
 def test_spam(spark):
-    rows = [(i, t, f"https://h{i}.example/a") for i, t in enumerate(SPAM + HAM)]
+    # every page stands on two hosts, so its phrases are replicated elsewhere
+    survey = "Legal description: beginning at a point on the section line; " + " ".join(f"thence {d} {i}°36'12\" E {37 * i}.71 feet;" for i, d in enumerate("NSSNNSNSNNSSNSNSNSSN")) + " to the point of beginning."
+    ham = [*HAM, survey]
+    rows = [(100 * h + i, t, f"https://h{h}.example/a") for h in range(2) for i, t in enumerate(SPAM + ham)]
     docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, url string")
-    assert {r["doc_id"] for r in spam.found(docs).collect()} == set(range(len(SPAM)))
+    assert {r["doc_id"] % 100 for r in spam.found(docs).collect()} == set(range(len(SPAM))) and spam.found(docs).count() == 2 * len(SPAM)
     assert spam.scores(docs).count() == len(rows) and spam.found(docs.limit(0)).count() == 0
 
 
+def test_spam_rests_on_other_hosts(spark):
+    rows = [(1, SPAM[0], "https://a.example/1"), (2, SPAM[0], "https://a.example/2"), (3, SPAM[1], None), (4, SPAM[1], None), (5, None, None), (6, HAM[0], "https://a.example/3")]
+    got = {r["doc_id"]: r for r in spam.scores(spark.createDataFrame(rows, "doc_id long, text string, url string")).collect()}
+    assert got[1]["density"] > 0.9 and got[1]["replicated"] == 0 == got[2]["replicated"]  # one host alone replicates nothing
+    assert got[3]["replicated"] > 0.9 and got[4]["replicated"] > 0.9  # pages without a url are hosts of their own
+    assert got[5]["density"] == 0 and got[6]["density"] < 0.5
+
+
 def test_vectors_come_from_all_documents(spark):
     from quarry.llm import ocr
 

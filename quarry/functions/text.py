@@ -179,3 +179,30 @@ def without_markup(c: Column) -> Column:
 def money(c: Column) -> Column:
     """$1.2M, $34K or $560."""
     return F.when(c >= 1_000_000, F.concat(F.lit("$"), F.format_number(c / 1_000_000, 1), F.lit("M"))).when(c >= 1_000, F.concat(F.lit("$"), F.format_number(c / 1_000, 0), F.lit("K"))).when(c.isNotNull(), F.concat(F.lit("$"), F.format_number(c, 0)))
+
+
+def currency(c: Column) -> Column:
+    """An abbreviated amount: $2M, $1.5M, $34K, $560, $0; a dash for null. Halves are rounded up."""
+    whole = lambda x: F.format_number(x, 0)
+    millions = F.when(c % 1_000_000 == 0, whole(c / 1_000_000)).otherwise(F.format_number(c / 1_000_000, 1))
+    return F.when(c >= 1_000_000, F.concat(F.lit("$"), millions, F.lit("M"))).when(c >= 1_000, F.concat(F.lit("$"), whole(c / 1_000), F.lit("K"))).when(c.isNotNull(), F.concat(F.lit("$"), whole(c))).otherwise("—")
+
+
+def currency_range(low: Column, high: Column) -> Column:
+    """Two amounts with a dash between; one where they are equal, a dash where either is missing."""
+    return F.when(low.isNull() | high.isNull(), "—").when(low == high, currency(low)).otherwise(F.concat(currency(low), F.lit(" – "), currency(high)))
+
+
+def days_text(days: Column) -> Column:
+    return F.when(days.isNull(), "—").when(days == 0, "Today").when(days == 1, "Tomorrow").when(days < 0, F.concat(F.abs(days).cast("string"), F.lit("d ago"))).otherwise(F.concat(F.lit("In "), days.cast("string"), F.lit("d")))
+
+
+def title_case(c: Column) -> Column:
+    """Words parted by blanks or underscores, each with a capital first; a dash for null and blank."""
+    words = F.filter(F.split(c, r"[_\s]+"), lambda w: w != "")
+    return F.coalesce(F.nullif(F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w)))), " "), F.lit("")), F.lit("—"))
+
+
+def hosted_by_column(host_: Column, domain: Column) -> Column:
+    """Whether a host is a domain or lies below it, where the domain is a column too."""
+    return F.coalesce((host_ == domain) | F.endswith(host_, F.concat(F.lit("."), domain)), F.lit(False))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.session import cut
+
 
 def first_wins(df: DataFrame, key: Column, *order: Column, keep_keyless: bool = True) -> DataFrame:
     """The first row of every key by an explicit order; rows without a key are all kept, or dropped.
@@ -56,6 +58,27 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, *order: Column) ->
     return last_wins(both, F.col(key), F.col("_side"), *order, keep_keyless=False).drop("_side")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """df with the place of each row in its keys' order, counted from 1; the order must be total within the keys.
+
+    Rows are laid out in ranges of (keys, order), so a key with a tenth of all rows is spread over many
+    tasks: each range numbers its own rows, and the counts of earlier ranges are added. The layout is
+    written once, for the counts and the rows must see the same one.
+    """
+    laid = cut(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    here = Window.partitionBy("_part", *keys).orderBy(*order)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = laid.groupBy("_part", *keys).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return laid.withColumn("_at", F.row_number().over(here)).join(before, ["_part", *keys]).withColumn(name, (F.col("_before") + F.col("_at")).cast("bigint")).drop("_part", "_at", "_before")
+
+
+def rising(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """The rows whose value is greater than all earlier ones of their keys; nulls count as least, the first row always stays."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    v = F.coalesce(F.col(value), F.lit(float("-inf")))
+    return df.withColumn("_top", F.max(v).over(w)).where(F.col("_top").isNull() | (v > F.col("_top"))).drop("_top")
+
+
 def numbered_versions(stored: DataFrame | None, new: DataFrame, key: str, *order: Column) -> DataFrame:
     """new with a version per key that goes on from the greatest stored one, in the given order."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import investigation_queries, lead_queries, queue_queries, row_queries, stream_queries, text_queries  # noqa: F401  (importing a module registers its queries)
+from quarry.plans import extract_queries, investigation_queries, lead_queries, queue_queries, row_queries, source_queries, stream_queries, text_queries  # noqa: F401  (importing a module registers its queries)
 from quarry.plans.registry import Query, query
 
 

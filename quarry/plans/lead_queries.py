@@ -277,7 +277,7 @@ def evidence_quality(spark: SparkSession, sf: str) -> DataFrame:
 SELECT app, count_if(day > DATE '{REFERENCE}' AND label <> 'deadline') AS ahead, count_if(day <= DATE '{REFERENCE}') AS past, CAST(min(day) FILTER (WHERE day > DATE '{REFERENCE}') AS VARCHAR) AS first_ahead, CAST(coalesce(min(day) FILTER (WHERE day > DATE '{REFERENCE}'), min(day)) AS VARCHAR) AS first_shown FROM s GROUP BY 1""")
 def lead_dates(spark: SparkSession, sf: str) -> DataFrame:
     """The future dates of every application that are no deadline, its past ones, and the order in which they are shown: future first, then by day."""
-    e = load(spark, sf, "identity_evidence").select("evidence_id", T.record_key(F.col("application_number")).alias("app"), F.to_date("observed_at").alias("day"), F.when(F.col("kind") == "hearing", "public_hearing").when(F.col("kind") == "role", "deadline").otherwise(F.col("kind")).alias("label")).where("app is not null and day is not null").distinct()  # at most the days and labels there are
+    e = load(spark, sf, "identity_evidence").select(T.record_key(F.col("application_number")).alias("app"), F.to_date("observed_at").alias("day"), F.when(F.col("kind") == "hearing", "public_hearing").when(F.col("kind") == "role", "deadline").otherwise(F.col("kind")).alias("label")).where("app is not null and day is not null").distinct()  # at most the days and labels there are
     d = e.withColumn("is_future", D.is_future(F.col("day"), F.lit(REFERENCE).cast("date"))).groupBy("app").agg(F.array_sort(F.collect_list(F.struct("day", "label", "is_future"))).alias("dates"))
     shown, ahead = L.ordered_dates(F.col("dates")), L.future_dates(F.col("dates"))
     upcoming = F.filter("dates", lambda x: x["is_future"])
@@ -288,7 +288,7 @@ def lead_dates(spark: SparkSession, sf: str) -> DataFrame:
 SELECT lead_id, min(label) AS label FROM opportunity o JOIN (SELECT app, day, min(label) AS label FROM s GROUP BY 1, 2) m ON m.app = upper(trim(o.application_number)) AND m.day = (SELECT min(day) FROM s WHERE s.app = m.app) GROUP BY 1""")
 def matching_date(spark: SparkSession, sf: str) -> DataFrame:
     """For every lead the date element of its application's first day."""
-    e = load(spark, sf, "identity_evidence").select("evidence_id", T.record_key(F.col("application_number")).alias("app"), F.to_date("observed_at").alias("day"), F.col("kind").alias("label")).where("app is not null and day is not null").distinct()
+    e = load(spark, sf, "identity_evidence").select(T.record_key(F.col("application_number")).alias("app"), F.to_date("observed_at").alias("day"), F.col("kind").alias("label")).where("app is not null and day is not null").distinct()
     d = e.groupBy("app").agg(F.array_sort(F.collect_list(F.struct("day", "label"))).alias("dates"), F.min("day").alias("first"))
     picked = d.select("app", L.date_of(F.col("dates"), F.col("first"))["label"].alias("label"))
     return load(spark, sf, "opportunity").select("lead_id", T.record_key(F.col("application_number")).alias("app")).join(picked, "app").select("lead_id", "label")

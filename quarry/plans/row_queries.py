@@ -39,14 +39,22 @@ def evidence_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH e AS (SELECT DISTINCT evidence_id, upper(trim(entity_identifier)) AS app, source_type, lower(trim(value)) AS claim, confidence_score FROM investigation_evidence WHERE trim(entity_identifier) <> ''),
 b AS (SELECT *, row_number() OVER (PARTITION BY app, source_type, claim ORDER BY confidence_score DESC NULLS LAST, evidence_id) AS n FROM e)
 SELECT evidence_id, app, printf('E%04d', row_number() OVER (PARTITION BY app ORDER BY evidence_id)) AS registry_id FROM b WHERE n = 1""")
-def evidence_registry(spark: SparkSession, sf: str) -> DataFrame:
-    """Per application the surest evidence of every claim, numbered E0001 and on."""
-    from pyspark.sql.window import Window
-
+def evidence_registry_best(spark: SparkSession, sf: str) -> DataFrame:
+    """Per application the surest evidence of every claim, numbered E0001 and on: what a registry that replaces would hold."""
     e = evidence(spark, sf).where("app is not null").select("evidence_id", "app", "source_type", F.lower(F.trim("value")).alias("claim"), "confidence_score")
     order = F.struct(F.coalesce("confidence_score", F.lit(float("-inf"))), -F.col("evidence_id"))
     best = e.groupBy("app", "source_type", "claim").agg(F.max_by("evidence_id", order).alias("evidence_id"))
-    return best.select("evidence_id", "app", F.format_string("E%04d", F.row_number().over(Window.partitionBy("app").orderBy("evidence_id"))).alias("registry_id"))
+    return R.numbered(best.select("evidence_id", "app"), ["app"], ["evidence_id"], "n").select("evidence_id", "app", F.format_string("E%04d", "n").alias("registry_id"))
+
+
+@query("""WITH e AS (SELECT DISTINCT evidence_id, upper(trim(entity_identifier)) AS app, source_type, lower(trim(value)) AS claim, coalesce(confidence_score, -1) AS c FROM investigation_evidence WHERE trim(entity_identifier) <> ''),
+b AS (SELECT *, max(c) OVER (PARTITION BY app, source_type, claim ORDER BY evidence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e)
+SELECT evidence_id, app, printf('E%04d', row_number() OVER (PARTITION BY app ORDER BY evidence_id)) AS registry_id FROM b WHERE top IS NULL OR c > top""")
+def evidence_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence registered in order: a claim that is already there is added again only with a higher confidence."""
+    e = evidence(spark, sf).where("app is not null").select("evidence_id", "app", "source_type", F.lower(F.trim("value")).alias("claim"), F.coalesce("confidence_score", F.lit(-1.0)).alias("c"))
+    kept = R.rising(e, ["app", "source_type", "claim"], ["evidence_id"], "c")
+    return R.numbered(kept.select("evidence_id", "app"), ["app"], ["evidence_id"], "n").select("evidence_id", "app", F.format_string("E%04d", "n").alias("registry_id"))
 
 
 @query("""WITH c AS (SELECT candidate_id, upper(trim(application_number)) AS app, contact_type, confidence, source_type, value FROM contact_candidate WHERE trim(application_number) <> '')
@@ -61,15 +69,34 @@ def contact_best(spark: SparkSession, sf: str) -> DataFrame:
 SOURCE_CASE = "CASE source_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.SOURCE_RANK.items()) + " ELSE 99 END"
 
 
-@query(f"""WITH c AS (SELECT DISTINCT candidate_id, upper(trim(application_number)) AS app, contact_type, lower(trim(value)) AS v, {SOURCE_CASE} AS r, coalesce(is_generic, false) AS g, coalesce(confidence, 0) AS conf
+@query(f"""WITH c AS (SELECT DISTINCT candidate_id, upper(trim(application_number)) AS app, contact_type, lower(trim(value)) AS v, {SOURCE_CASE} AS r, round(coalesce(confidence, 0) - CASE WHEN is_generic THEN 0.1 ELSE 0 END, 6) AS conf
   FROM contact_candidate WHERE trim(application_number) <> '' AND trim(value) <> '')
-SELECT candidate_id, app FROM (SELECT *, row_number() OVER (PARTITION BY app, contact_type, v ORDER BY g, r, conf DESC, candidate_id) AS n FROM c) WHERE n = 1""")
+SELECT candidate_id, app FROM (SELECT *, row_number() OVER (PARTITION BY app, contact_type, v ORDER BY r, conf DESC, candidate_id) AS n FROM c) WHERE n = 1""")
 def contact_by_source_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Per written contact the row to keep: personal before generic, then by rank of its source and confidence."""
+    """Per written contact the row to keep: by rank of its source, then confidence, a tenth less for a role's mailbox."""
+    return ranked_contacts(spark, sf).groupBy("app", "contact_type", "v").agg(F.min(F.struct("r", "c", "candidate_id")).alias("b")).select("b.candidate_id", "app")
+
+
+def ranked_contacts(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "contact_candidate")
     rank = F.coalesce(F.try_element_at(S.literal_map(K.SOURCE_RANK), F.col("source_type")), F.lit(99))
-    rows = c.select("candidate_id", T.record_key(F.col("application_number")).alias("app"), "contact_type", F.lower(F.trim("value")).alias("v"), F.coalesce("is_generic", F.lit(False)).alias("g"), rank.alias("r"), (-F.coalesce("confidence", F.lit(0.0))).alias("c"))
-    return rows.where("app is not null and v <> ''").groupBy("app", "contact_type", "v").agg(F.min(F.struct("g", "r", "c", "candidate_id")).alias("b")).select("b.candidate_id", "app")
+    sure = F.round(F.coalesce("confidence", F.lit(0.0)) - F.when(F.col("is_generic"), 0.1).otherwise(0.0), 6)
+    rows = c.select("candidate_id", T.record_key(F.col("application_number")).alias("app"), "contact_type", F.lower(F.trim("value")).alias("v"), F.coalesce("is_generic", F.lit(False)).alias("g"), rank.alias("r"), (-sure).alias("c"))
+    return rows.where("app is not null and v <> ''")
+
+
+@query(f"""WITH c AS (SELECT DISTINCT candidate_id, upper(trim(application_number)) AS app, contact_type, {SOURCE_CASE} AS r, coalesce(is_generic, false) AS g, round(coalesce(confidence, 0) - CASE WHEN is_generic THEN 0.1 ELSE 0 END, 6) AS conf FROM contact_candidate WHERE trim(application_number) <> '' AND trim(value) <> '')
+SELECT app, contact_type, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY app, contact_type ORDER BY contact_type = 'email' AND g, r, conf DESC, candidate_id) AS n FROM c) WHERE n = 1""")
+def preferred_contacts(spark: SparkSession, sf: str) -> DataFrame:
+    """The contact to use for every application and type; an e-mail of a role only where there is no other."""
+    role = (F.col("contact_type") == "email") & F.col("g")
+    return ranked_contacts(spark, sf).groupBy("app", "contact_type").agg(F.min(F.struct(role.alias("role"), F.col("r"), F.col("c"), F.col("candidate_id"))).alias("b")).select("app", "contact_type", "b.candidate_id")
+
+
+@query("""SELECT evidence_id FROM (SELECT evidence_id, row_number() OVER (PARTITION BY field, value, source_url ORDER BY evidence_id) AS n FROM (SELECT DISTINCT evidence_id, field, value, source_url FROM investigation_evidence)) WHERE n = 1""")
+def evidence_dedup_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The first evidence of every field, value as written, and source."""
+    return evidence(spark, sf).groupBy("field", "value", "source_url").agg(F.min("evidence_id").alias("evidence_id")).select("evidence_id")
 
 
 @query("""WITH m AS (SELECT match_id, discovered_locality, match_score, row_number() OVER (PARTITION BY discovered_locality, match_score, source_url ORDER BY match_id) AS d FROM identity_match WHERE discovered_locality IS NOT NULL)
@@ -115,19 +142,10 @@ def left_join_defaults(spark: SparkSession, sf: str) -> DataFrame:
     return R.with_defaults(o, "app", {"evidence": F.lit(0), "best": F.lit(0.0), "contacts": F.lit(0)}, e, c).drop("app")
 
 
-@query("""WITH b AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer WHERE c_custkey % 2 = 0), o AS (SELECT s_suppkey AS k, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END AS bal FROM supplier)
-SELECT coalesce(b.k, o.k) AS k, coalesce(o.name, b.name) AS name, coalesce(o.bal, b.bal) AS bal FROM b FULL JOIN o USING (k)""")
-def state_overlay(spark: SparkSession, sf: str) -> DataFrame:
-    """A stored state overlaid with a newer one, field by field where that is not null."""
-    base = load(spark, sf, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey AS k", "c_name AS name", "c_acctbal AS bal")
-    over = load(spark, sf, "supplier").selectExpr("s_suppkey AS k", "s_name AS name", "CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END AS bal")
-    return R.overlay(base, over, "k", ["name", "bal"])
-
-
 @query("""WITH o AS (SELECT s_suppkey AS k, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END AS bal FROM supplier)
 SELECT coalesce(c.c_custkey, o.k) AS k, coalesce(o.name, c.c_name) AS name, coalesce(o.bal, c.c_acctbal) AS bal FROM customer c FULL JOIN o ON o.k = c.c_custkey""")
-def state_overlay_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same overlay over the whole stored state; state_overlay leaves out odd keys."""
+def state_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored state overlaid with a newer one, field by field where that is not null."""
     base = load(spark, sf, "customer").selectExpr("c_custkey AS k", "c_name AS name", "c_acctbal AS bal")
     over = load(spark, sf, "supplier").selectExpr("s_suppkey AS k", "s_name AS name", "CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal END AS bal")
     return R.overlay(base, over, "k", ["name", "bal"])
@@ -157,6 +175,40 @@ def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     return R.upsert(u.limit(0), u, "app", F.col("updated_at"), F.col("lead_id")).select("app", "lead_id", "priority")
 
 
+@query("""WITH u AS (SELECT nullif(upper(trim(application_number)), '') AS app, lead_id, priority, coalesce(updated_at, TIMESTAMP '0001-01-01') AS t FROM opportunity),
+stored AS (SELECT app, first(lead_id ORDER BY t DESC, lead_id DESC) AS lead_id, first(priority ORDER BY t DESC, lead_id DESC) AS priority FROM u WHERE app IS NOT NULL AND t < TIMESTAMP '2024-01-01' GROUP BY 1),
+late AS (SELECT app, first(lead_id ORDER BY t DESC, lead_id DESC) AS lead_id, first(priority ORDER BY t DESC, lead_id DESC) AS priority FROM u WHERE app IS NOT NULL AND t >= TIMESTAMP '2024-01-01' GROUP BY 1)
+SELECT coalesce(l.app, s.app) AS app, coalesce(l.lead_id, s.lead_id) AS lead_id, CASE WHEN l.app IS NOT NULL THEN l.priority ELSE s.priority END AS priority FROM stored s FULL JOIN late l ON l.app = s.app""")
+def upsert_onto_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Late updates put over a stored lead table: changed applications are replaced, new ones added, the others kept."""
+    u = load(spark, sf, "opportunity").select(T.record_key(F.col("application_number")).alias("app"), "lead_id", "priority", F.coalesce("updated_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("updated_at"))
+    since = F.lit("2024-01-01").cast("timestamp_ntz")
+    stored = R.upsert(u.limit(0), u.where(F.col("updated_at") < since), "app", F.col("updated_at"), F.col("lead_id"))
+    return R.upsert(stored, u.where(F.col("updated_at") >= since), "app", F.col("updated_at"), F.col("lead_id")).select("app", "lead_id", "priority")
+
+
+@query("""WITH d AS (SELECT DISTINCT evidence_id, upper(trim(application_number)) AS app, observed_at, confidence FROM identity_evidence WHERE trim(application_number) <> '' AND observed_at IS NOT NULL),
+v AS (SELECT *, row_number() OVER (PARTITION BY app ORDER BY observed_at, evidence_id) AS version, coalesce(confidence >= 0.5, false) AS final FROM d)
+SELECT app, max(version) AS versions, max(version) FILTER (WHERE final) AS last_final, count_if(NOT final) AS drafts FROM v GROUP BY 1""")
+def draft_and_final_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Versions of an artifact, the sure ones final and the others drafts: how many, and the last final one."""
+    d = load(spark, sf, "identity_evidence").select("evidence_id", T.record_key(F.col("application_number")).alias("app"), "observed_at", "confidence").where("app is not null and observed_at is not null").dropDuplicates(["evidence_id"])
+    v = R.numbered(d, ["app"], ["observed_at", "evidence_id"], "version").withColumn("final", F.coalesce(F.col("confidence") >= 0.5, F.lit(False)))
+    return v.groupBy("app").agg(F.max("version").alias("versions"), F.max(F.when(F.col("final"), F.col("version"))).alias("last_final"), F.count_if(~F.col("final")).alias("drafts"))
+
+
+@query("""WITH f AS (SELECT upper(trim(application_number)) AS app, max(priority_score) AS score FROM opportunity WHERE trim(application_number) <> '' GROUP BY 1), e AS (SELECT upper(trim(application_number)) AS app, count(DISTINCT candidate_id) AS contacts FROM contact_candidate WHERE trim(application_number) <> '' GROUP BY 1),
+d AS (SELECT upper(trim(application_number)) AS app, CAST(min(observed_at)::DATE AS VARCHAR) AS first_day FROM identity_evidence WHERE trim(application_number) <> '' GROUP BY 1)
+SELECT lead_id, coalesce(score, 0) AS score, coalesce(contacts, 0) AS contacts, coalesce(first_day, '') AS first_day FROM opportunity o LEFT JOIN f ON f.app = upper(trim(o.application_number)) LEFT JOIN e ON e.app = upper(trim(o.application_number)) LEFT JOIN d ON d.app = upper(trim(o.application_number))""")
+def three_way_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Leads beside their application's scores, contacts and dates, each aggregated to one row before it is joined."""
+    app = lambda t: load(spark, sf, t).withColumn("app", T.record_key(F.col("application_number"))).where("app is not null").groupBy("app")
+    f, e = app("opportunity").agg(F.max("priority_score").alias("score")), app("contact_candidate").agg(F.count_distinct("candidate_id").alias("contacts"))
+    d = app("identity_evidence").agg(F.min("observed_at").cast("date").cast("string").alias("first_day"))
+    o = load(spark, sf, "opportunity").select("lead_id", T.record_key(F.col("application_number")).alias("app"))
+    return R.with_defaults(o, "app", {"score": F.lit(0), "contacts": F.lit(0), "first_day": F.lit("")}, f, e, d).drop("app")
+
+
 @query("""WITH x AS (SELECT *, upper(trim(application_number)) AS app FROM identity_evidence WHERE trim(application_number) <> ''), d AS (SELECT DISTINCT evidence_id, app, observed_at FROM x),
 s AS (SELECT * FROM d WHERE observed_at < TIMESTAMP '2024-01-01'), n AS (SELECT * FROM d WHERE observed_at >= TIMESTAMP '2024-01-01'),
 v AS (SELECT app, count(*) AS m FROM s GROUP BY 1)

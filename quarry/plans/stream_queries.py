@@ -18,10 +18,11 @@ def tumbling_activity(spark: SparkSession, sf: str) -> DataFrame:
     return activity.windowed(e).select(F.unix_timestamp("window.start").alias("began"), "event_type", "events")
 
 
-@query("""SELECT user_id, CASE WHEN n THEN 'LOST_OR_WON' ELSE 'OPEN' END AS kind, c AS events FROM (SELECT user_id, bool_or(event_type IN ('purchase', 'error')) AS n, count(*) AS c FROM events GROUP BY 1)""")
+@query("""WITH r AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'REPLIED' WHEN 'view' THEN 'READY' WHEN 'click' THEN 'CONTACTED' WHEN 'purchase' THEN 'WON' ELSE 'LOST' END AS st,
+  CASE event_type WHEN 'signup' THEN 4 WHEN 'view' THEN 2 WHEN 'click' THEN 3 ELSE 7 END AS rk FROM events)
+SELECT user_id, coalesce(first(st ORDER BY ts DESC, event_id DESC) FILTER (WHERE rk = 7), first(st ORDER BY rk DESC)) AS state, count(*) AS events FROM r GROUP BY 1""")
 def stream_states(spark: SparkSession, sf: str) -> DataFrame:
-    """Every user's state as the stream keeps it, after all events."""
+    """Every user's state as the stream keeps it, after all events, state by state."""
     stream = activity.states(activity.read_events(spark, sf))
     out = activity.run_to_files(stream, "update")
-    last = R.last_wins(out, F.col("user_id"), F.col("events"), keep_keyless=False)
-    return last.select("user_id", F.when(F.col("state").isin("WON", "LOST"), "LOST_OR_WON").otherwise("OPEN").alias("kind"), "events")
+    return R.last_wins(out, F.col("user_id"), F.col("events"), keep_keyless=False).select("user_id", "state", "events")

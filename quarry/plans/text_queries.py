@@ -132,21 +132,11 @@ def date_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return said.select("parsed_id", D.parse_date(F.col("said")).cast("string").alias("day")).where("day is not null").groupBy("parsed_id", "day").agg(F.count("*").alias("times"))
 
 
-@query("""WITH o AS (SELECT lead_id, upper(trim(application_number)) AS app, applicant_name FROM opportunity WHERE trim(application_number) <> '' AND length(applicant_name) > 3), d AS (SELECT evidence_id, upper(trim(entity_identifier)) AS app, any_value(evidence_text) AS text FROM investigation_evidence WHERE evidence_text IS NOT NULL AND trim(entity_identifier) <> '' GROUP BY 1, 2)
-SELECT o.lead_id, d.evidence_id FROM o JOIN d USING (app) WHERE contains(lower(d.text), lower(trim(string_split(o.applicant_name, ' ')[-1]))) AND length(string_split(o.applicant_name, ' ')[-1]) > 5""")
-def context_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Evidence of an application whose text names the applicant: an equi-join first, then the containment."""
-    o = load(spark, sf, "opportunity").select("lead_id", T.record_key(F.col("application_number")).alias("app"), F.element_at(F.split("applicant_name", " "), -1).alias("last"), "applicant_name")
-    o = o.where((F.length("applicant_name") > 3) & (F.length("last") > 5)).select("lead_id", "app", F.lower(F.trim("last")).alias("last"))
-    d = evidence(spark, sf).where("evidence_text is not null").select("evidence_id", "app", F.lower("evidence_text").alias("text"))
-    return o.join(d, "app").where(F.contains("text", "last")).select("lead_id", "evidence_id")
-
-
 @query("""WITH o AS (SELECT lead_id, upper(trim(application_number)) AS app, nullif(trim(regexp_replace(lower(applicant_name), '[^a-z0-9]+', ' ', 'g')), '') AS n, nullif(trim(regexp_replace(lower(project_address), '[^a-z0-9]+', ' ', 'g')), '') AS a FROM opportunity WHERE trim(application_number) <> ''),
 d AS (SELECT evidence_id, upper(trim(entity_identifier)) AS app, trim(regexp_replace(lower(any_value(evidence_text)), '[^a-z0-9]+', ' ', 'g')) AS t FROM investigation_evidence WHERE evidence_text IS NOT NULL AND trim(entity_identifier) <> '' GROUP BY 1, 2)
 SELECT o.lead_id, d.evidence_id FROM o JOIN d USING (app) WHERE contains(d.t, o.n) OR contains(d.t, o.a)""")
-def context_join_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Evidence of an application whose text names the whole applicant or the address, for every lead; context_join tests the last word of longer names only."""
+def context_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence of an application whose text names the whole applicant or the address, for every lead."""
     key = lambda c: F.nullif(T.match_key(F.col(c)), F.lit(""))
     o = load(spark, sf, "opportunity").select("lead_id", T.record_key(F.col("application_number")).alias("app"), key("applicant_name").alias("name"), key("project_address").alias("address"))
     d = evidence(spark, sf).where("evidence_text is not null").select("evidence_id", "app", T.match_key(F.col("evidence_text")).alias("text"))
@@ -170,15 +160,9 @@ def page_text(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("parsed_id", "text", packets.join_pages(F.col("pages")).alias("t")).select("parsed_id", F.length("t").cast("bigint").alias("rebuilt"), (F.col("t") == F.col("text")).alias("same"))
 
 
-@query("""SELECT doc_id, sha256(text) AS digest, strlen(text) AS bytes, base64(encode(left(text, 12))) AS head FROM documents WHERE text IS NOT NULL""")
-def blob_digest(spark: SparkSession, sf: str) -> DataFrame:
-    """Checksum, size in bytes and an encoded head of a payload."""
-    return load(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("bigint").alias("bytes"), F.base64(F.encode(F.left("text", F.lit(12)), "UTF-8")).alias("head"))
-
-
 @query("""SELECT doc_id, sha256(text) AS digest, strlen(text) AS bytes, base64(encode(text)) AS payload FROM documents WHERE text IS NOT NULL""")
-def blob_payload(spark: SparkSession, sf: str) -> DataFrame:
-    """Checksum, size in bytes and the whole payload encoded in one line; blob_digest encodes its first twelve characters only."""
+def blob_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """Checksum, size in bytes and the whole payload encoded in one line."""
     return load(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("bigint").alias("bytes"), F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit("")).alias("payload"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.operators import rows as R
+from quarry.session import cut
 
 
 @dataclass(frozen=True)
@@ -24,11 +25,17 @@ class Status:
     error: str | None = None
 
 
+#: How many older versions of a table stay for readers that still hold them.
+KEPT = 2
+
+
 class Table:
-    """A Parquet table whose current version a pointer file names, so readers never see a half-written one.
+    """A Parquet table whose versions are numbered folders, each with a marker that is written last.
 
-    Each write goes to a new folder; the pointer is renamed over the old one at the end. A lost executor
-    repeats its tasks into the new folder, and a failed write leaves the old version current.
+    A reader takes the greatest number that has a marker, so there is always a whole version to read: a
+    marker is created in one step and never replaced, and a failed write leaves no marker. Two writers of
+    one number cannot both succeed, since creating a marker that exists fails. Older versions are removed
+    after the switch, all but the last few.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType | str | None = None, partition_by: tuple[str, ...] = ()) -> None:
@@ -39,17 +46,19 @@ class Table:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
+    def _versions(self) -> list[tuple[int, str]]:
+        """(number, folder) of the whole versions, in order."""
+        fs, path = self._fs()
+        if not fs.exists(path(self.path)):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(path(self.path))]
+        marks = [n.removeprefix("_v").split("-", 1) for n in names if n.startswith("_v")]
+        return sorted((int(number), f"{self.path}/{folder}") for number, folder in marks)
+
     def current(self) -> str | None:
         """The folder of the current version; None where nothing was written yet."""
-        fs, path = self._fs()
-        pointer = path(f"{self.path}/_current")
-        if not fs.exists(pointer):
-            return None
-        stream = fs.open(pointer)
-        try:
-            return f"{self.path}/{bytes(stream.readAllBytes()).decode().strip()}"
-        finally:
-            stream.close()
+        versions = self._versions()
+        return versions[-1][1] if versions else None
 
     def read(self) -> DataFrame:
         """The current version, or an empty table of the schema."""
@@ -62,21 +71,24 @@ class Table:
 
     def replace(self, df: DataFrame) -> None:
         """Make df the current version. df may read the table itself: its files are another folder."""
-        name = f"v-{uuid.uuid4().hex}"
-        df.write.partitionBy(*self.partition_by).parquet(f"{self.path}/{name}")
+        before = self._versions()
+        number, folder = (before[-1][0] if before else 0) + 1, f"d-{uuid.uuid4().hex}"
+        df.write.partitionBy(*self.partition_by).parquet(f"{self.path}/{folder}")
         fs, path = self._fs()
-        new, pointer = path(f"{self.path}/_{name}"), path(f"{self.path}/_current")
-        stream = fs.create(new, True)
-        try:
-            stream.write(bytearray(name.encode()))
-        finally:
-            stream.close()
-        fs.delete(pointer, False)
-        if not fs.rename(new, pointer):
-            raise OSError(f"could not switch {self.path} to {name}")
+        if any(n >= number for n, _ in self._versions()):
+            fs.delete(path(f"{self.path}/{folder}"), True)
+            raise OSError(f"{self.path} was switched to version {number} by another writer")
+        fs.create(path(f"{self.path}/_v{number:012d}-{folder}"), False).close()
+        for n, old in before[: -KEPT or None]:
+            fs.delete(path(f"{self.path}/_v{n:012d}-{old.rsplit('/', 1)[1]}"), False)
+            fs.delete(path(old), True)
 
     def upsert(self, changes: DataFrame, key: str, *order) -> Status:
-        """Put the last change of every key in place; keyless changes are skipped and counted."""
+        """Put the last change of every key in place; keyless changes are skipped and counted.
+
+        The changes are written once before they are counted and merged, so whatever makes them runs once.
+        """
+        changes = cut(changes)
         got = changes.agg(F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("keyless")).first()
         base = self.read() if self.current() or self.schema is not None else changes.limit(0)
         self.replace(R.upsert(base, changes, key, *order))
@@ -85,7 +97,7 @@ class Table:
     def append_versions(self, new: DataFrame, key: str, *order) -> DataFrame:
         """Append rows with versions that go on from the stored ones; returns what was appended."""
         stored = self.read() if self.current() else None
-        numbered = R.numbered_versions(stored, new, key, *order)
+        numbered = cut(R.numbered_versions(stored, new, key, *order))
         self.replace(numbered if stored is None else stored.unionByName(numbered))
         return numbered
 

@@ -37,11 +37,14 @@ def ingest(registry: Table, waiting: DataFrame, process: Callable[[DataFrame], D
     return registry.read()
 
 
-def discover(spark: SparkSession, pages: str, schema: str, registry: Table, process: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """A query over listing files (url, title, kind) that registers and ingests what is new, then stops when all is read."""
+def discover(spark: SparkSession, pages: str, schema: str, registry: Table, process: Callable[[DataFrame], DataFrame], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """A query over listing files (url, title, kind) that registers and ingests what is new.
+
+    It stops when all is read, or looks again at the given interval, such as "6 hours".
+    """
 
     def batch(df: DataFrame, _: int) -> None:
         ingest(registry, register(registry, df), process)
 
     stream = spark.readStream.schema(schema).json(pages)
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()

@@ -97,6 +97,15 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed(load(spark, sf, "documents"), load(spark, sf, "mix_targets"))[1]
 
 
+def p8_clamped_quotas(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotas of a mix nine tenths as large as all repetitions could make it, by size in characters: sources that cannot fill their share are clamped."""
+    docs = load(spark, sf, "documents").select("doc_id", F.nullif(F.trim("source"), F.lit("")).alias("source"), F.coalesce("n_chars", F.lit(0)).alias("tokens"))
+    targets = load(spark, sf, "mix_targets")
+    room = sum(have * cap for _, share, have, cap, _ in mixing.quotas(docs, targets) if share > 0)
+    rows = [(s, have, q) for s, _, have, _, q in mixing.quotas(docs, targets, 0.9 * room)]
+    return spark.createDataFrame(rows, "source string, available bigint, quota double").withColumn("quota", F.round("quota", 2))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that are spam."""
     return spam.found(load(spark, sf, "documents"))
@@ -108,7 +117,7 @@ def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_redacted, p3_found, p3_classes, p4_found, p4_repaired, p5_found, p6_found, p6_survivors, p7_ids, p7_round_trip, p8_uses, p8_shares, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_redacted, p3_found, p3_classes, p4_found, p4_repaired, p5_found, p6_found, p6_survivors, p7_ids, p7_round_trip, p8_uses, p8_shares, p8_clamped_quotas, p9_found, p9_scores)}
 
 
 P6_KEYED = r"""
@@ -131,6 +140,14 @@ WITH named AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_clamped_quotas": """
+WITH a AS (SELECT trim(source) AS source, sum(coalesce(n_chars, 0)) AS available FROM documents WHERE trim(source) <> '' GROUP BY 1),
+t AS (SELECT m.source, target_share AS w, CAST(coalesce(available, 0) AS BIGINT) AS available, coalesce(available, 0) * max_repeats AS room FROM mix_targets m LEFT JOIN a USING (source)),
+s AS (SELECT *, sum(room) OVER () * 0.9 AS total, sum(room) OVER (ORDER BY room / w, source) AS filled, sum(w) OVER () - sum(w) OVER (ORDER BY room / w, source) AS open_w, lead(room / w) OVER (ORDER BY room / w, source) AS next_ratio, room / w AS ratio FROM t WHERE w > 0 AND room > 0),
+l AS (SELECT min(level) AS level FROM (
+  SELECT max(total) / sum(w) AS level FROM s HAVING max(total) / sum(w) <= min(ratio) UNION ALL SELECT (total - filled) / open_w FROM s WHERE open_w > 1e-12 AND (total - filled) / open_w >= ratio AND (total - filled) / open_w <= next_ratio))
+SELECT t.source, available, CAST(round(coalesce(least(w * level, room), 0), 2) AS DOUBLE) AS quota FROM t, l
+""",
         "p7_round_trip": "SELECT count(*) AS documents, count(*) AS unchanged FROM documents",
         "p6_found": P6_KEYED
         + """

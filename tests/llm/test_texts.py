@@ -150,6 +150,16 @@ HAM = [
 ]
 
 
+def test_sizes_count_the_ids(spark, small):
+    from quarry.session import load
+
+    docs = load(spark, small, "documents").select("doc_id", "text", "source")
+    docs = docs.union(docs.limit(3))  # some delivered twice
+    want = {r["doc_id"]: len(r["ids"]) for r in bpe.encode(docs).collect()}
+    got = bpe.sizes(docs, keep=("source",)).collect()
+    assert len(got) == len(want) and {r["doc_id"]: r["tokens"] for r in got} == want
+
+
 def test_spam(spark):
     # every page stands on two hosts, so its phrases are replicated elsewhere
     survey = "Legal description: beginning at a point on the section line; " + " ".join(f"thence {d} {i}°36'12\" E {37 * i}.71 feet;" for i, d in enumerate("NSSNNSNSNNSSNSNSNSSN")) + " to the point of beginning."

@@ -72,6 +72,20 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     return laid.withColumn("_at", F.row_number().over(here)).join(before, ["_part", *keys]).withColumn(name, (F.col("_before") + F.col("_at")).cast("bigint")).drop("_part", "_at", "_before")
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, rows: int = 5_000) -> DataFrame:
+    """The equi-join of both sides on key, for results of many pairs per key: keys of more left rows than given are split.
+
+    Each part of a hot key's left rows meets all its right rows in a task of its own, so no task makes more
+    pairs than rows times the right rows of one key. Only hot keys pay: their right rows are copied once
+    per part. Hot keys are few, one per so many rows at most.
+    """
+    hot = left.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("_parts")).where(F.col("_parts") > 1)
+    parts = F.coalesce("_parts", F.lit(1))
+    a = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), parts).cast("int")).drop("_parts")
+    b = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return a.join(b, [key, "_part"]).drop("_part")
+
+
 def rising(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """The rows whose value is greater than all earlier ones of their keys; nulls count as least, the first row always stays."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -119,3 +119,16 @@ def test_candidates_and_scopes(spark):
     assert [(r["item"], r["start"], r["end"]) for r in blocks.orderBy("item").collect()] == [(1, 2, 12), (2, 12, 20)]
     events = spark.createDataFrame([(1, 0), (1, 5), (1, 13), (2, 1)], "doc_id int, at int")
     assert sorted((r["doc_id"], r["at"], r["item"]) for r in E.scoped(events, blocks, "doc_id", "at").fillna(0).collect()) == [(1, 0, 0), (1, 5, 1), (1, 13, 2), (2, 1, 0)]
+
+
+def test_split_join_and_numbering(spark):
+    from quarry.operators import rows as R
+
+    left = spark.createDataFrame([("hot", i) for i in range(50)] + [("cold", 100), (None, 101)], "k string, x long")
+    right = spark.createDataFrame([("hot", i) for i in range(7)] + [("cold", 8), ("other", 9)], "k string, y long")
+    got = sorted(map(tuple, R.split_join(left, right, "k", rows=4).collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").collect())) and len(got) == 351
+    n = R.numbered(left.repartition(3), ["k"], ["x"], "n").orderBy("k", "x").collect()
+    assert [r["n"] for r in n if r["k"] == "hot"] == list(range(1, 51)) and [r["n"] for r in n if r["k"] is None] == [1]
+    up = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.5), ("a", 3, 0.7), ("a", 4, None), ("b", 1, None), ("b", 2, None), ("b", 3, 0.1)], "k string, i int, v double")
+    assert sorted((r["k"], r["i"]) for r in R.rising(up, ["k"], ["i"], "v").collect()) == [("a", 1), ("a", 3), ("b", 1), ("b", 3)]

@@ -69,7 +69,9 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     here = Window.partitionBy("_part", *keys).orderBy(*order)
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = laid.groupBy("_part", *keys).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    return laid.withColumn("_at", F.row_number().over(here)).join(before, ["_part", *keys]).withColumn(name, (F.col("_before") + F.col("_at")).cast("bigint")).drop("_part", "_at", "_before")
+    b = before.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys], "_before")
+    same = reduce(lambda x, y: x & y, [F.col("_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]])
+    return laid.withColumn("_at", F.row_number().over(here)).join(b, same).select(*df.columns, (F.col("_before") + F.col("_at")).cast("bigint").alias(name))
 
 
 def split_join(left: DataFrame, right: DataFrame, key: str, rows: int = 5_000) -> DataFrame:

@@ -8,13 +8,14 @@ numbers, street types, directions or cities reject a pair.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.names import osa, plain
+from quarry.operators import rows as R
 from quarry.session import cut
 
 # Common writings of street types, directions, units, fillers and number words.
@@ -37,12 +38,10 @@ TENTHS = {w: 10 * (i + 2) for i, w in enumerate("twentieth thirtieth fortieth fi
 #: Words before "at" or alone at the start that lead to a site and are no part of it.
 LEAD = re.compile(r"^\s*(?:(?:the|vacant|located|lot|land|property|site|parcel|premises|address:?|approx\w*|situated|project)\s+)+at\s+")
 
-FORM = "addr string, place string, form long, kind string, number string, street string, other string, type string, type2 string, direction string, city string, corner string"
-
+#: A state word is one that ends addresses at least a fiftieth as often as the commonest; so many endings are looked at, an error if they do not reach down to that.
+TAILS = 1000
 
-def plain(text: str) -> str:
-    """Lower case without accents."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+FORM = "addr string, place string, form long, kind string, number string, street string, other string, type string, type2 string, direction string, city string, corner string"
 
 
 def ordinal(token: str) -> str | None:
@@ -71,7 +70,24 @@ def street_part(tokens: list[str]) -> tuple[str, str | None, str | None]:
     return "".join(words), kind, way
 
 
-def parse(address: str | None, place: str | None, cities: dict[str, str], states: set[str]) -> dict | None:
+class Places:
+    """Cities, zip codes and state words, ready for looking an address's own words up in them."""
+
+    def __init__(self, cities: dict[str, str], states: set[str]) -> None:
+        self.cities, self.states = cities, states
+        self.longest = max((len(c.split()) for c in cities), default=0)
+        known = "|".join(map(re.escape, sorted(states)))
+        self.after = rf"(?=\s*(?:[,;]|$|\s(?:{known})?\s*(?:vicinity|rear)?\s*$))"
+        self.tail = re.compile(rf"[,;\s](?:{known})\s*(?:vicinity|rear|near)?\s*$") if states else None
+
+    def named(self, text: str) -> list[str]:
+        """The cities whose words stand in a row in a text, longer names first."""
+        words = re.findall(r"[^\s,;]+", text)
+        runs = {" ".join(words[i : i + n]) for n in range(1, self.longest + 1) for i in range(len(words) - n + 1)}
+        return sorted((r for r in runs if r in self.cities and not r[0].isdigit()), key=lambda r: (-len(r), r))
+
+
+def parse(address: str | None, place: str | None, cities: dict[str, str], states: set[str], places: Places | None = None) -> dict | None:
     """Components of an address; None for a null, blank or filler text or one without a site.
 
     cities maps a city's plain name to itself and its zip codes to it, as learned from the rows.
@@ -79,6 +95,7 @@ def parse(address: str | None, place: str | None, cities: dict[str, str], states
     """
     if address is None:
         return None
+    places = places or Places(cities, states)
     text = plain(address).strip()
     if re.sub(r"\s+", " ", text) in FILLERS:
         return None
@@ -94,11 +111,11 @@ def parse(address: str | None, place: str | None, cities: dict[str, str], states
     for z in zipped:
         if z in cities and not re.match(rf"\s*{z}\b", flat):
             city, flat = city or cities[z], flat.replace(z, " ")
-    for name in sorted((c for c in cities if not c[0].isdigit()), key=len, reverse=True):  # a few dozen at most are tried: those of the text's own words
-        if name in flat and (m := re.search(rf"(?:^|[,; ]){re.escape(name)}(?=\s*(?:[,;]|$|\s(?:{'|'.join(map(re.escape, sorted(states)))})?\s*(?:vicinity|rear)?\s*$))", flat)):
+    for name in places.named(flat):
+        if m := re.search(rf"(?:^|[,; ]){re.escape(name)}{places.after}", flat):
             city, flat = city or name, flat[: m.start()] + " , " + flat[m.end():]
             break
-    flat = re.sub(rf"[,;\s](?:{'|'.join(map(re.escape, sorted(states)))})\s*(?:vicinity|rear|near)?\s*$", " ", flat) if states else flat
+    flat = places.tail.sub(" ", flat) if places.tail else flat
     corner = next((c for c in re.findall(r"[a-z]+", flat) if c in CORNERS), None)
     corner = {"northeast": "ne", "northwest": "nw", "southeast": "se", "southwest": "sw"}.get(corner or "", corner)
     place = plain(place).strip() if place else None
@@ -143,27 +160,6 @@ def parse(address: str | None, place: str | None, cities: dict[str, str], states
     return {"kind": "number", "number": number.lstrip("0") or "0", "street": name, "other": None, "type": kind, "type2": None, "direction": way, "city": city, "corner": None}
 
 
-def osa(a: str, b: str, most: int) -> int:
-    """Optimal string alignment distance, most + 1 when it is larger."""
-    if a == b:
-        return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row = row, [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-        before = last
-    return min(row[-1], most + 1)
-
-
 def reach(name: str) -> int:
     """Edits allowed between two writings of a street name; none in numbers and very short names."""
     return 0 if name.isdigit() or len(name) < 4 else 1 if len(name) < 6 else 2
@@ -209,11 +205,15 @@ def learned_places(rows: DataFrame) -> tuple[dict[str, str], set[str]]:
     zips = (
         rows.where(low.rlike(r"[0-9]{5}\s*$") & F.col("place").isNotNull())
         .groupBy(F.regexp_extract(low, r"([0-9]{5})\s*$", 1).alias("z"), F.lower(F.trim("place")).alias("c")).count()
-        .groupBy("z").agg(F.max_by("c", "count").alias("c")).limit(100_001).collect()
+        .groupBy("z").agg(F.max_by("c", F.struct("count", "c")).alias("c")).limit(100_001).collect()
     )
-    tails = rows.select(F.explode(F.regexp_extract_all(low, F.lit(r"[a-z]+,? ([a-z]{2,12}) ?(?:[0-9]{5})?$"), F.lit(1))).alias("w")).groupBy("w").count().orderBy(F.desc("count")).limit(50).collect()
+    if len(zips) > 100_000:
+        raise ValueError("more zip codes than there are; check the addresses")
+    tails = rows.select(F.explode(F.regexp_extract_all(low, F.lit(r"[a-z]+,? ([a-z]{2,12}) ?(?:[0-9]{5})?$"), F.lit(1))).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(TAILS).collect()
     states = {r["w"] for r in tails if r["w"] not in TYPES and r["w"] not in DIRECTIONS and r["w"] not in CORNERS and not any(r["w"] in c.split() for c in cities)}
     common = max((r["count"] for r in tails if r["w"] in states), default=0)
+    if len(tails) == TAILS and tails[-1]["count"] * 50 > common:
+        raise ValueError("no few words end the addresses; check the address column")
     return cities | {r["z"]: plain(r["c"]) for r in zips}, {r["w"] for r in tails if r["w"] in states and r["count"] * 50 > common}
 
 
@@ -222,10 +222,11 @@ def forms(rows: DataFrame) -> DataFrame:
     cities, states = learned_places(rows)
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = Places(cities, states)
         for b in batches:
             out = []
             for a, p, f in zip(b["addr"], b["place"], b["form"], strict=True):
-                if r := parse(a, p, cities, states):
+                if r := parse(a, p, cities, states, places):
                     out.append({"addr": a, "place": p, "form": f} | r)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FORM.split(", ")])
 
@@ -295,4 +296,15 @@ def found(rows: DataFrame) -> DataFrame:
     links, held = site_links(rows)
     links = cut(links)
     a, b = held.select(F.col("id").alias("x"), F.col("form").alias("fa")), held.select(F.col("id").alias("y"), F.col("form").alias("fb"))
-    return links.join(a, "fa").join(b, "fb").where("x <> y").select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")).distinct()
+    pairs = R.split_join(links.join(a, "fa").select("x", "fb"), b, "fb")
+    return pairs.where("x <> y").select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id")).distinct()
+
+
+def link_counts(rows: DataFrame) -> DataFrame:
+    """(id, links) of every row at a site: how many other rows share it. Rows are counted per form, so no pairs are made."""
+    links, held = site_links(rows)
+    held = cut(held)
+    sizes = held.groupBy("form").agg(F.count("*").alias("n"))
+    both = cut(links).select(F.explode(F.when(F.col("fa") == F.col("fb"), F.array(F.struct("fa", "fb"))).otherwise(F.array(F.struct("fa", "fb"), F.struct(F.col("fb").alias("fa"), F.col("fa").alias("fb"))))).alias("p")).select(F.col("p.fa").alias("form"), F.col("p.fb").alias("other")).distinct()
+    reached = both.join(sizes.withColumnRenamed("form", "other"), "other").groupBy("form").agg((F.sum("n") - 1).alias("links"))
+    return held.join(reached, "form").groupBy("id").agg(F.sum("links").alias("links"))

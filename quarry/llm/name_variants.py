@@ -12,13 +12,17 @@ from collections.abc import Iterator
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import names as N
+from quarry.operators import rows as R
 from quarry.operators.components import connected_components
 from quarry.session import cut
 
+#: A word of this share of all names, four at least, is established: it is a misspelling only of one eight times as frequent.
+ESTABLISHED, LEAST_ESTABLISHED, MORE = 5e-5, 4, 8
+
 PARSED = "name string, core array<string>, initials array<string>, business string, legal string, joined boolean"
 
 
@@ -46,21 +50,28 @@ def word_candidates(sigs: DataFrame) -> DataFrame:
     edit or one transposition apart share an entry. A word that is itself well established is no
     misspelling: it links to another only where that one is eight times as frequent.
     """
-    variants = F.udf(lambda core: [w for v in N.merged(list(core)) for w in v], "array<string>")
+    # neighbouring words run together, as names.merged writes them
+    run = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.concat(F.element_at(c, i), F.element_at(c, i + 1)))
+    established = max(LEAST_ESTABLISHED, int(ESTABLISHED * sigs.count()))
     own = sigs.select(F.explode("core").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    run_together = sigs.where(F.size("core") > 1).select(F.explode(variants("core")).alias("word")).distinct()
+    run_together = sigs.where(F.size("core") > 1).select(F.explode(F.concat("core", run(F.col("core")))).alias("word")).distinct()
     words = cut(run_together.join(own, "word", "full").select("word", F.coalesce("n", F.lit(0)).alias("n")))
-    left_by = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.lit(200))))
+    left_by = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
     index = words.where(F.length("word") >= 4).select("word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), left_by(F.col("word"))))).alias("k")).select("word", "n", F.xxhash64("k").alias("k"))
     a, b = index.toDF("word", "n", "k"), index.where("n > 0").toDF("head", "m", "k")
     lev = F.levenshtein("word", "head")
     swapped = (F.length("word") == F.length("head")) & (lev == 2) & (F.array_sort(F.split("word", "")) == F.array_sort(F.split("head", "")))
     near = (
-        a.join(b, "k").where("word <> head and m >= n and not (n >= 4 and m < 8 * n)").where((lev == 1) | swapped)
+        a.join(b, "k").where(f"word <> head and m >= n and not (n >= {established} and m < {MORE} * n)").where((lev == 1) | swapped)
         .select("word", "head").distinct().groupBy("word").agg(F.array_sort(F.collect_list("head")).alias("near"))
     )
-    nick = F.udf(lambda w: list(N.expansions(w)), "array<string>")
-    return words.join(near, "word", "left").select("word", F.array_distinct(F.concat(nick("word"), F.coalesce("near", F.array().cast("array<string>")))).alias("heads"))
+    return words.join(near, "word", "left").select("word", F.array_distinct(F.concat(written_for(F.col("word")), F.coalesce("near", F.array().cast("array<string>")))).alias("heads"))
+
+
+def written_for(word: Column) -> Column:
+    """The word and the given names it may abbreviate."""
+    nick = F.create_map(*[x for k, v in N.NICK.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))])
+    return F.concat(F.array(word), F.coalesce(F.try_element_at(nick, word), F.array().cast("array<string>")))
 
 
 def name_keys(sigs: DataFrame, heads: DataFrame) -> DataFrame:
@@ -84,7 +95,7 @@ def initial_keys(sigs: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFram
     few = sigs.where("size(core) = 1 and size(initials) > 0").select("sig", F.col("core")[0].alias("word"), F.col("initials")[0].alias("i"))
     short = few.join(heads, "word").select("sig", F.explode("heads").alias("h"), "i").select("sig", F.concat_ws(" ", "i", "h").alias("key"))
     two = sigs.where("size(core) = 2 and business is null and legal is null and not joined")
-    starts = F.udf(lambda w: sorted({x[0] for x in N.expansions(w)}), "array<string>")
+    starts = lambda w: F.array_sort(F.array_distinct(F.transform(written_for(w), lambda x: F.left(x, F.lit(1)))))
     full = two.select("sig", F.col("core")[1].alias("word"), F.explode(starts(F.col("core")[0])).alias("i")).join(heads, "word").select("sig", F.explode("heads").alias("h"), "i")
     return short.distinct(), full.select("sig", F.concat_ws(" ", "i", "h").alias("key")).distinct()
 
@@ -167,7 +178,15 @@ def rows_of(opportunity: DataFrame, pud: DataFrame, enrichment: DataFrame) -> Da
 
 
 def found(rows: DataFrame) -> DataFrame:
-    """p3_found: (left_id, right_id), smaller id first, of rows of one class whose stored names differ."""
+    """p3_found: (left_id, right_id), smaller id first, of rows of one class whose stored names differ. A class of many rows is paired in parts."""
     c = cut(classes(rows).where("entity is not null").select("id", "name", "entity"))
     other = c.toDF("right_id", "other", "entity")
-    return c.withColumnRenamed("id", "left_id").join(other, "entity").where("left_id < right_id and name <> other").select("left_id", "right_id")
+    return R.split_join(c.withColumnRenamed("id", "left_id"), other, "entity").where("left_id < right_id and name <> other").select("left_id", "right_id")
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """(id, entity, links) of every row that names somebody: its class, and how many rows of it are written otherwise. No pairs are made."""
+    c = cut(classes(rows).where("entity is not null").select("id", "name", "entity"))
+    alike = c.groupBy("entity", "name").agg(F.count("*").alias("alike"))
+    size = alike.groupBy("entity").agg(F.sum("alike").alias("size"))
+    return c.join(alike.join(size, "entity"), ["entity", "name"]).select("id", "entity", (F.col("size") - F.col("alike")).alias("links"))

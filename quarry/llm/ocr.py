@@ -23,6 +23,8 @@ from quarry.session import cut
 #: Words and lines of at least this share of documents are the model. Their number is at most the mean
 #: number of distinct words (lines) of a document divided by the share, however many documents there are.
 COMMON, LEAST_DOCS = 0.001, 3
+#: More common words than this are an error instead of being broadcast.
+MOST_WORDS = 2_000_000
 #: A word is a misreading of a neighbour that is this many times as frequent.
 RATIO = 20
 #: Of the vectors: dimensions, window, rounds of the factorisation.
@@ -181,7 +183,10 @@ def learn(texts: DataFrame, vectors: bool = True) -> tuple[dict, int, set, list,
     stats = cut(statistics(texts))
     docs = stats.where("kind = 'd'").agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_DOCS, int(COMMON * docs))
-    words = {r["key"]: r["n"] for r in stats.where((F.col("kind") == "w") & (F.col("n") >= least)).collect()}
+    rows = stats.where((F.col("kind") == "w") & (F.col("n") >= least)).select("key", "n").limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} common words; raise COMMON")
+    words = {r["key"]: r["n"] for r in rows}
     of = lambda kind, name: stats.where(F.col("kind") == kind).select("key", F.col("n").alias(name))
     edge = of("e", "n").where(F.col("n") >= least).join(of("r", "repeated"), "key").join(of("i", "inside"), "key", "left")
     edges = {r["key"] for r in edge.where((F.col("repeated") >= REPEATED * F.col("n")) & (F.coalesce("inside", F.lit(0)) <= INSIDE * F.col("n"))).collect()}
@@ -250,6 +255,8 @@ class Reader:
     def options(self, word: str) -> list[str]:
         """Frequent words that a word may be a misreading of; none for a sound word."""
         if word not in self.known:
+            if len(self.known) > FINE:
+                self.known.clear()  # only a cache
             self.known[word] = self._options(word)
         return self.known[word]
 

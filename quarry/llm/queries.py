@@ -16,6 +16,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_matches(spark, sf).select("lead_id", "match_id")
 
 
+def p1_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The applicant that every finding is about, how many leads it has, and the confidence: the pairs of p1_found, not multiplied out."""
+    return entity_match.findings_about(entity_match.leads_of(load(spark, sf, "opportunity")), entity_match.findings_of(load(spark, sf, "identity_match")))
+
+
 def p1_matches(spark: SparkSession, sf: str) -> DataFrame:
     """The same pairs with the confidence of each."""
     return entity_match.matches(entity_match.leads_of(load(spark, sf, "opportunity")), entity_match.findings_of(load(spark, sf, "identity_match")))
@@ -45,8 +50,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """The class of every row that names somebody."""
-    return name_variants.classes(name_rows(spark, sf)).where("entity is not null").select("id", "entity")
+    """The class of every row that names somebody, and its number of links."""
+    return name_variants.members(name_rows(spark, sf))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,6 +69,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return addresses.found(addresses.rows_of(load(spark, sf, "opportunity"), load(spark, sf, "pud871_opportunity")))
 
 
+def p5_links(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rows every row shares its site with."""
+    return addresses.link_counts(addresses.rows_of(load(spark, sf, "opportunity"), load(spark, sf, "pud871_opportunity")))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """For each contact with several candidate ids, which rows supply its value and its domain."""
     return survivors.found(load(spark, sf, "contact_candidate"))
@@ -117,7 +127,7 @@ def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_redacted, p3_found, p3_classes, p4_found, p4_repaired, p5_found, p6_found, p6_survivors, p7_ids, p7_round_trip, p8_uses, p8_shares, p8_clamped_quotas, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p1_findings, p2_found, p2_redacted, p3_found, p3_classes, p4_found, p4_repaired, p5_found, p5_links, p6_found, p6_survivors, p7_ids, p7_round_trip, p8_uses, p8_shares, p8_clamped_quotas, p9_found, p9_scores)}
 
 
 P6_KEYED = r"""

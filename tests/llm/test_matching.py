@@ -135,20 +135,47 @@ def test_matches(spark):
     ]
     out = M.matches(spark.createDataFrame(leads, LEAD), spark.createDataFrame(finds, FIND)).collect()
     assert {(r["lead_id"], r["match_id"]) for r in out} == {(1, 11), (2, 11), (3, 13), (1, 16), (2, 16)}
+    groups = M.findings_about(spark.createDataFrame(leads, LEAD), spark.createDataFrame(finds, FIND)).collect()
+    assert {(r["match_id"], r["leads"]) for r in groups} == {(11, 2), (13, 1), (16, 2)}
     assert all(0 <= r["confidence"] <= 1 for r in out) and len(out) == 5
 
 
+NAMES = [f"{a} {b}" for a in ("robert", "eleanor", "victor", "olympia", "benjamin", "ursula") for b in ("delilvrand", "munatchzard", "halambvane", "kolurnwick", "torardvers", "falemptnova")]
+
+
+def typed(spark):
+    """Signatures of names and of the same with a letter left out, and the words they may be written for."""
+    wrong = [n[:-3] + n[-2:] for n in NAMES]
+    rows = [(i, n.split(" "), [], None, None, False) for i, n in enumerate(NAMES + wrong)]
+    sigs = spark.createDataFrame(rows, "sig long, core array<string>, initials array<string>, business string, legal string, joined boolean")
+    return sigs, M.V.word_candidates(sigs), len(NAMES)
+
+
 def test_hyperplane_tables_find_near_names(spark):
-    """Recall of the blocking against brute force over all pairs of keys of cosine 0.9 or more."""
-    model = M.blended(M.first_vectors())
-    words = [f"w{i}" for i in range(60)]
-    keys = sorted({f"{a} {b} {c}" for a in words[:6] for b in words[:5] for c in words[:9]})
-    vs = np.stack([M.vector(k.split(" "), model) for k in keys])
-    table = spark.createDataFrame([(i, "w", k, False) for i, k in enumerate(keys)], "sig long, shape string, key string, short boolean")
-    got = {(r["a"], r["b"]) for r in M.blocked(table, table, model.tobytes()).select("a", "b").collect()}
-    near = [(i, j) for i in range(len(keys)) for j in range(len(keys)) if float(vs[i] @ vs[j]) >= 0.9]
-    assert sum(p in got for p in near) / len(near) >= 0.9
-    assert table.where(F.col("sig") < 0).count() == 0
+    """Recall of the blocking against brute force over all pairs of cosine .85 or more; the tables keep it at every size."""
+    sigs, heads, n = typed(spark)
+    model = M.blended(M.first_vectors()).tobytes()
+    near = {r["word"]: r["heads"] for r in heads.collect()}
+    vs = M.Vectors(model).names([[(w, near[w], M.GIVEN if i == 0 else 1.0) for i, w in enumerate(r["core"])] for r in sigs.orderBy("sig").collect()])
+    got = {(r["a"], r["b"]) for r in M.blocked(sigs.select("sig"), sigs.select("sig"), sigs, heads, model).collect()}
+    close = [(i, j) for i in range(2 * n) for j in range(2 * n) if float(vs[i] @ vs[j]) >= M.SURE_COSINE]
+    assert len(close) > 3 * n and sum(p in got for p in close) / len(close) >= 0.9
+    assert all((i, i + n) in got for i in range(n))
+    for size in (1_000, 100_000, 1_000_000, 10**9):
+        assert M.meeting(M.SURE_COSINE, *M.shape_of(size)) >= M.RECALL
+
+
+def test_blocking_rests_on_the_vectors(spark, monkeypatch):
+    """With a random vector per word in place of its letters and neighbours, names with a typo no longer meet."""
+    sigs, heads, n = typed(spark)
+    model = M.blended(M.first_vectors()).tobytes()
+    numbers = M.buckets(sigs, heads.select("word", F.array("word").alias("heads")).withColumn("word", F.col("word")), model, 8, 20)
+    assert numbers.count() == 2 * n
+    v = M.Vectors(model)
+    monkeypatch.setattr(v, "word", lambda w, near: np.random.default_rng(abs(hash(w)) % 2**32).standard_normal(M.DIM).astype("float32"))
+    x = v.names([[(w, [w], 1.0) for w in name.split(" ")] for name in ("robert delilvrand", "robert delilvrnd")])
+    y = M.Vectors(model).names([[(w, [w], 1.0) for w in name.split(" ")] for name in ("robert delilvrand", "robert delilvrnd")])
+    assert y[0] @ y[1] > M.SURE_COSINE > x[0] @ x[1]
 
 
 def test_corners_meet_for_all_edits_that_are_compared(spark):

@@ -2,7 +2,10 @@
 
 Detection anchors on given names, titles, labels and number shapes and looks at the words around
 them. Replacement is either a typed placeholder or a keyed surrogate of the same type, gender,
-script and format; one person keeps one surrogate, and different ones stay different.
+script and format. Numbers, letters and listed given names go through keyed permutations; for surnames,
+streets, cities and hosts the corpus's distinct words are gathered in a table, and words that draw the
+same surrogate are told apart there. So over the whole corpus one entity keeps one surrogate, and
+different ones stay different.
 """
 
 from __future__ import annotations
@@ -11,12 +14,15 @@ import hashlib
 import hmac
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quarry.session import cut
 
 try:  # one pass over a text for all words that may begin a name
     import ahocorasick
@@ -179,6 +185,10 @@ def detect(text: str | None) -> list[tuple[str, int, int]]:
 LOWER_SAFE = (FEMALE | MALE) - {"bill", "bob", "dan", "sue", "grant", "may", "will", "frank", "jack", "jean", "joy", "mark", "rob", "ray", "art", "dick", "pat", "drew", "dean", "carol", "sandra", "jordan", "logan", "tim", "len", "hal", "dora", "martin", "scott", "ted", "tom", "nick", "sam", "ken", "phil", "jim", "joe", "gary", "harry", "terry", "wayne", "kelly", "ben", "walt", "vince", "tony"}
 
 
+#: Copies of the table of surrogates that meet the texts, so a word of a third of all texts is met in several tasks.
+SALTS = 8
+
+
 def digest(key: str, text: str) -> int:
     return int.from_bytes(hmac.new(key.encode(), text.encode(), hashlib.sha256).digest()[:8], "big")
 
@@ -198,111 +208,192 @@ def shuffled_digits(key: str, digits: str) -> str:
     return a + b
 
 
+def walked(key: str, digits: str, fits: Callable[[str], bool]) -> str:
+    """The same permutation walked on until the result has the form that the digits have; again a permutation of such digits."""
+    new = shuffled_digits(key, digits)
+    while fits(digits) and not fits(new):
+        new = shuffled_digits(key, new)
+    return new
+
+
+def is_phone(d: str) -> bool:
+    """Ten digits whose area and exchange begin with 2 to 9."""
+    return len(d) == 10 and d[0] > "1" and d[3] > "1"
+
+
+def is_social(d: str) -> bool:
+    return len(d) == 9 and d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+
+
+def no_leading_zero(d: str) -> bool:
+    return d[:1] != "0"
+
+
 STARTS = "Al Ber Cor Dar El Far Gal Har Il Jor Kel Lor Mar Nor Or Per Quin Ros Sel Tor Ul Ver Wil Yor".split()
 MIDDLES = "an be co da en fi go ha in ka lo ma na or pe ra si ta un va".split()
 ENDS = "berg by dale den field ford gard ham ley man mere mond ner ridge sen shaw son stad ton vik wood".split()
 
 
+@lru_cache(1)
+def pool() -> tuple[str, ...]:
+    """All words that the parts make, each once, in a fixed order."""
+    return tuple(dict.fromkeys(a + b + c + d for a in STARTS for b in MIDDLES for c in MIDDLES for d in ENDS))
+
+
+def made_word(slot: int, turn: int) -> str:
+    """The word of a slot; later turns of one slot get further parts behind hyphens, so no two (slot, turn) share a word."""
+    parts = [pool()[slot]]
+    while turn > 0:
+        turn, part = divmod(turn - 1, len(ENDS))
+        parts.append(ENDS[part].capitalize())
+    return "-".join(parts)
+
+
+def slot_of(key: str, kind: str, word: str) -> int:
+    return digest(key, f"{kind}|{word}") % len(pool())
+
+
 def cased(new: str, like: str) -> str:
     return new.upper() if like.isupper() and len(like) > 1 else new.lower() if like.islower() else new[:1].upper() + new[1:]
 
 
-def other_script(key: str, word: str) -> str:
-    """A word of another script: letters of the same block, chosen by key; marks and length stay."""
-    out = []
-    for i, c in enumerate(word):
-        if c.isalpha():
-            base = ord(c) & ~0x1F
-            pool = [chr(base + j) for j in range(32) if unicodedata.category(chr(base + j)) == unicodedata.category(c)] or [c]
-            out.append(pool[digest(key, f"{word}|{i}") % len(pool)])
-        else:
-            out.append(c)
-    return "".join(out)
+@lru_cache(4096)
+def letter_order(key: str, base: int, category: str) -> dict[str, str]:
+    """A keyed permutation of the letters of one category in a block of 32 characters; none stays itself where there are two or more."""
+    letters = [chr(base + j) for j in range(32) if unicodedata.category(chr(base + j)) == category]
+    mixed = sorted(letters, key=lambda c: digest(key, f"letter|{c}"))
+    return {c: mixed[(i + 1) % len(mixed)] for i, c in enumerate(mixed)}
+
+
+def other_letters(key: str, word: str) -> str:
+    """A word with every letter permuted within its block and category; marks, script and length stay, different words stay different."""
+    return "".join(letter_order(key, ord(c) & ~0x1F, unicodedata.category(c)).get(c, c) if c.isalpha() else c for c in word)
+
+
+@lru_cache(64)
+def given_order(key: str) -> dict[str, str]:
+    """A keyed permutation of the listed given names, those of one gender among themselves."""
+    out: dict[str, str] = {}
+    for names in (FEMALE, MALE - FEMALE):
+        mixed = sorted(names, key=lambda n: digest(key, f"given|{n}"))
+        out |= {n: mixed[(i + 1) % len(mixed)] for i, n in enumerate(mixed)}
+    return out
+
 
+#: What stands in an address and is no name of a street or city.
+KEPT_WORDS = set(STREET_TYPES.split("|")) | {"n", "s", "e", "w", "no", "so", "north", "south", "east", "west", "p", "o", "po", "box", "post", "office", "suite", "ste", "unit", "apt", "apartment", "bldg", "lot", "st", "nd", "rd", "th"}
+WORDS = re.compile(r"[^\W\d_]+")
 
-def new_surname(key: str, surname: str, turn: int) -> str:
-    d = digest(key, f"surname|{surname.lower()}|{turn}")
-    return STARTS[d % len(STARTS)] + MIDDLES[d // 97 % len(MIDDLES)] + MIDDLES[d // 9973 % len(MIDDLES)] + ENDS[d // 999983 % len(ENDS)]
 
+def kind_of(word: str) -> str:
+    return "given" if word.lower() in FEMALE or word.lower() in MALE else "surname"
 
-def new_given(key: str, given: str) -> str:
-    low = given.lower()
-    pool = sorted(FEMALE if low in FEMALE else MALE if low in MALE else FEMALE | MALE)
-    g = pool[digest(key, f"given|{low}") % len(pool)]
-    return g if g != low else pool[(pool.index(g) + 1) % len(pool)]
+
+def email_parts(text: str) -> tuple[str, str, str]:
+    return re.match(r"(.*?)(\s?(?:@|[\[(]\s?at\s?[\])])\s?)(.*)", text, re.I | re.S).groups()
+
+
+def words_needed(kind: str, text: str) -> list[tuple[str, str]]:
+    """(kind, word) of the words of an item whose surrogates the corpus's table gives; ascii words of two letters or more, in lower case."""
+    names = lambda t: [("surname", w.lower()) for w in WORDS.findall(t) if len(w) > 1 and w.isascii() and kind_of(w) == "surname"]
+    if kind == "name":
+        return names(text)
+    if kind == "email":
+        local, _, domain = email_parts(text)
+        return [*names(local), ("host", host_label(domain))]
+    if kind == "address":
+        return [("place", w.lower()) for w in place_words(text)]
+    return []
+
+
+def host_label(domain: str) -> str:
+    return re.split(r"\.|\s?[\[(]\s?dot\s?[\])]\s?", domain, maxsplit=1)[0].lower()
+
+
+def place_words(text: str) -> list[str]:
+    """The words of an address that name a street or a city; a state's two letters stay."""
+    return [m[0] for m in WORDS.finditer(text) if m[0].isascii() and m[0].lower() not in KEPT_WORDS and len(m[0]) > 2]
 
 
 class Surrogates:
-    """The replacements within one text: keyed, the same for the same entity, never the same for two."""
+    """Replacements by a key and a table {(kind, word): surrogate} of the corpus's words; a word outside the table takes its slot's first one."""
 
-    def __init__(self, key: str) -> None:
-        self.key, self.of, self.taken = key, {}, set()
+    def __init__(self, key: str, table: dict[tuple[str, str], str]) -> None:
+        self.key, self.table = key, table
 
     def word(self, kind: str, word: str) -> str:
-        """The surrogate of one word of a name; a collision inside the text is resolved by the next draw."""
-        at = (kind, word.lower())
-        if at not in self.of:
-            for turn in range(1000):
-                if not word.isascii():
-                    new = other_script(f"{self.key}{turn}", word)
-                else:
-                    new = new_given(f"{self.key}{turn}" if turn else self.key, word) if kind == "given" else new_surname(self.key, word, turn)
-                if new.lower() not in self.taken and new.lower() != word.lower():
-                    break
-            self.taken.add(new.lower())
-            self.of[at] = new
-        return self.of[at]
+        low = word.lower()
+        if not word.isascii():
+            return other_letters(self.key, word)
+        if len(word) == 1:
+            return cased(letter_order(self.key, 0x60, "Ll").get(low, low), word if word.islower() else word + word)
+        if kind == "given":
+            return cased(given_order(self.key)[low], word)
+        return cased(self.table.get((kind, low)) or made_word(slot_of(self.key, kind, low), 0), word)
 
     def name(self, text: str) -> str:
-        def one(m: re.Match) -> str:
-            w = m[0]
-            if len(w) == 1:
-                return cased("ABCDEFGHIJKLMNOPRSTVW"[digest(self.key, f"initial|{w.lower()}") % 21], w if w.islower() else w + w)
-            kind = "given" if w.lower() in FEMALE or w.lower() in MALE else "surname"
-            return cased(self.word(kind, w), w)
+        return WORDS.sub(lambda m: self.word(kind_of(m[0]), m[0]), text)
 
-        return re.sub(r"[^\W\d_]+", one, text)
-
-    def number(self, text: str, keep: int = 0) -> str:
+    def digits(self, text: str, keep: int, fits: Callable[[str], bool]) -> str:
         digits = re.sub(r"\D", "", text)
-        new = iter(digits[:keep] + shuffled_digits(self.key, digits[keep:]))
+        new = iter(digits[:keep] + walked(self.key, digits[keep:], fits))
         return re.sub(r"\d", lambda _: next(new), text)
 
     def email(self, text: str) -> str:
-        local, sep, domain = re.match(r"(.*?)(\s?(?:@|[\[(]\s?at\s?[\])])\s?)(.*)", text, re.I | re.S).groups()
-        h = digest(self.key, "domain|" + domain.lower())
-        host = f"{STARTS[h % len(STARTS)].lower()}{MIDDLES[h // 31 % len(MIDDLES)]}{h // 997 % 100000:05d}"
-        labels = re.split(r"((?:\.|\s?[\[(]\s?dot\s?[\])]\s?))", domain)
-        labels[0] = host
-        head = re.sub(r"[^\W\d_]+", lambda m: cased(self.word("given" if m[0].lower() in FEMALE | MALE else "surname", m[0]), m[0]) if len(m[0]) > 1 else m[0], local)
+        local, sep, domain = email_parts(text)
+        label = host_label(domain)
+        head = WORDS.sub(lambda m: self.word(kind_of(m[0]), m[0]), local)
         head = re.sub(r"\d+", lambda m: shuffled_digits(self.key, m[0]), head)
-        return head + sep + "".join(labels)
+        new = self.table.get(("host", label)) or made_word(slot_of(self.key, "host", label), 0)
+        return head + sep + cased(new.replace("-", ""), domain[: len(label)]) + domain[len(label) :]
 
     def address(self, text: str) -> str:
-        street, comma, rest = text.partition(",")
-        street = re.sub(r"\d+", lambda m: shuffled_digits(self.key, m[0]), street)
-        keep = set(STREET_TYPES.split("|")) | {"n", "s", "e", "w", "no", "so", "north", "south", "east", "west", "p", "o", "po", "box", "post", "office", "suite", "ste", "unit", "apt", "apartment", "bldg", "lot", "st", "nd", "rd", "th"}
-        return re.sub(r"[^\W\d_]+", lambda m: m[0] if m[0].lower() in keep or len(m[0]) == 1 else cased(self.word("street", m[0]), m[0]), street) + comma + rest
+        named = iter(place_words(text))
+        following = next(named, None)
+
+        def one(m: re.Match) -> str:
+            nonlocal following
+            if m[0] != following:
+                return m[0]
+            following = next(named, None)
+            return self.word("place", m[0])
+
+        text = re.sub(r"\d+", lambda m: walked(self.key, m[0], no_leading_zero), text)
+        return WORDS.sub(one, text)
 
     def replace(self, kind: str, text: str) -> str:
         if kind == "phone":
             digits = re.sub(r"\D", "", text)
-            return self.number(text, 1 if len(digits) == 11 and digits[0] == "1" else 0)
+            return self.digits(text, 1 if len(digits) == 11 and digits[0] == "1" else 0, is_phone)
         if kind == "id_number":
-            letters = re.sub(r"[A-Za-z]", lambda m: cased("ABCDEFGHJKLMNPRSTVWXYZ"[digest(self.key, "letter|" + m[0].lower()) % 22], m[0] + m[0] if m[0].isupper() else m[0]), text)
-            return self.number(letters)
+            order = letter_order(self.key, 0x60, "Ll")
+            letters = re.sub(r"[A-Za-z]", lambda m: cased(order[m[0].lower()], m[0] + m[0] if m[0].isupper() else m[0]), text)
+            return self.digits(letters, 0, is_social)
         return {"email": self.email, "name": self.name, "address": self.address}[kind](text)
 
 
+def table_of(key: str, words: Iterable[tuple[str, str]]) -> dict[tuple[str, str], str]:
+    """The table of a corpus small enough for one place; surrogate_table makes the same one for any corpus."""
+    slots: dict[tuple[str, int], list[tuple[int, str]]] = {}
+    for kind, word in set(words):
+        slots.setdefault((kind, slot_of(key, kind, word)), []).append((digest(key, f"turn|{kind}|{word}") >> 1, word))
+    return {(kind, w): made_word(slot, i) for (kind, slot), ws in slots.items() for i, (_, w) in enumerate(sorted(ws))}
+
+
 PLACEHOLDER = {"email": "EMAIL", "phone": "PHONE", "id_number": "ID_NUMBER", "address": "ADDRESS", "name": "NAME"}
 
 
-def redact(text: str | None, key: str) -> tuple[str | None, str | None]:
-    """(text with typed placeholders, text with surrogates). Equal items of a text share a numbered placeholder; null stays null."""
+def redact(text: str | None, key: str, table: dict[tuple[str, str], str] | None = None) -> tuple[str | None, str | None]:
+    """(text with typed placeholders, text with surrogates). Equal items of a text share a numbered placeholder; null stays null.
+
+    Without a table the text is a corpus of its own.
+    """
     if text is None:
         return None, None
     spans = detect(text)
-    s, numbers, a, b, at = Surrogates(key), {}, [], [], 0
+    if table is None:
+        table = table_of(key, [w for kind, start, end in spans for w in words_needed(kind, text[start:end])])
+    s, numbers, a, b, at = Surrogates(key, table), {}, [], [], 0
     for kind, start, end in spans:
         item = text[start:end]
         same = (kind, re.sub(r"\W", "", item.lower()))
@@ -333,12 +424,75 @@ def items(texts: DataFrame) -> DataFrame:
     return some.mapInPandas(run, "evidence_id long, pii_type string, start_pos int, length int").distinct()
 
 
+def needed(texts: DataFrame) -> DataFrame:
+    """(row, kind, word): the words of each text's items whose surrogates come from the table, each once per text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = {(row, *w) for row, t in zip(b["row"], b["text"], strict=True) if isinstance(t, str) for kind, s, e in detect(t) for w in words_needed(kind, t[s:e])}
+            yield pd.DataFrame(list(out), columns=["row", "kind", "word"])
+
+    return texts.select("row", "text").where(F.length("text") > 0).mapInPandas(run, "row long, kind string, word string")
+
+
+def surrogate_table(words: DataFrame, key: str) -> DataFrame:
+    """(kind, word, surrogate) of distinct words (kind, word): words that draw one slot take turns in a keyed order, so no two of a kind share a surrogate."""
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(slot=[slot_of(key, k, w) for k, w in zip(b["kind"], b["word"], strict=True)], place=[digest(key, f"turn|{k}|{w}") >> 1 for k, w in zip(b["kind"], b["word"], strict=True)])
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["kind", "word"]].assign(surrogate=[made_word(s, t) for s, t in zip(b["slot"], b["turn"], strict=True)])
+
+    slots = words.select("kind", "word").distinct().mapInPandas(drawn, "kind string, word string, slot long, place long")
+    turns = slots.withColumn("turn", F.row_number().over(Window.partitionBy("kind", "slot").orderBy("place", "word")) - 1)
+    return turns.mapInPandas(made, "kind string, word string, surrogate string")
+
+
+def with_tables(texts: DataFrame, key: str) -> DataFrame:
+    """texts (evidence_id, text), distinct, with the part of the corpus's table that each needs. Words meet the table over salted copies of it; texts move once."""
+    rows = texts.select("evidence_id", "text").withColumn("row", F.xxhash64("evidence_id", "text"))
+    words = cut(needed(rows).distinct())
+    table = surrogate_table(words, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = words.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(table, ["kind", "word", "salt"])
+    own = met.groupBy("row").agg(F.collect_list(F.struct("kind", "word", "surrogate")).alias("own"))
+    return rows.dropDuplicates(["row"]).join(own, "row", "left").select("evidence_id", "text", "own")
+
+
+def own_table(own) -> dict[tuple[str, str], str]:
+    return {(x["kind"], x["word"]): x["surrogate"] for x in own} if own is not None else {}
+
+
 def redacted(texts: DataFrame, key: str) -> DataFrame:
-    """(evidence_id, placeholder_text, surrogate_text) of every distinct row; the same key gives the same surrogates everywhere."""
+    """(evidence_id, placeholder_text, surrogate_text) of every distinct row; one entity has one surrogate in all texts, different ones have different ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            both = [redact(t if isinstance(t, str) else None, key) for t in b["text"]]
+            both = [redact(t if isinstance(t, str) else None, key, own_table(o)) for t, o in zip(b["text"], b["own"], strict=True)]
             yield pd.DataFrame({"evidence_id": b["evidence_id"], "placeholder_text": [x for x, _ in both], "surrogate_text": [y for _, y in both]})
 
-    return texts.distinct().mapInPandas(run, "evidence_id long, placeholder_text string, surrogate_text string")
+    return with_tables(texts, key).mapInPandas(run, "evidence_id long, placeholder_text string, surrogate_text string")
+
+
+def surrogate_faults(texts: DataFrame, key: str) -> DataFrame:
+    """(pii_type, shared, split) over the whole corpus: surrogates that two entities share, and entities that have two surrogates.
+
+    An entity is an item's letters and digits without case; phones and numbers count by their digits and letters alone.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bare = lambda t: re.sub(r"[\W_]", "", t.lower())
+        for b in batches:
+            out = []
+            for t, o in zip(b["text"], b["own"], strict=True):
+                if isinstance(t, str):
+                    s = Surrogates(key, own_table(o))
+                    out += [(k, bare(t[x:y]), bare(s.replace(k, t[x:y]))) for k, x, y in detect(t)]
+            yield pd.DataFrame(out, columns=["pii_type", "entity", "surrogate"])
+
+    pairs = cut(with_tables(texts, key).mapInPandas(run, "pii_type string, entity string, surrogate string").distinct())
+    shared = pairs.groupBy("pii_type", "surrogate").agg(F.count("*").alias("n")).groupBy("pii_type").agg(F.count_if(F.col("n") > 1).alias("shared"))
+    split = pairs.groupBy("pii_type", "entity").agg(F.count("*").alias("n")).groupBy("pii_type").agg(F.count_if(F.col("n") > 1).alias("split"))
+    return shared.join(split, "pii_type")

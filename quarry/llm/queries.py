@@ -40,6 +40,11 @@ def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redacted(pii.texts_of(load(spark, sf, "investigation_evidence"), load(spark, sf, "identity_evidence")), SURROGATE_KEY)
 
 
+def p2_surrogate_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """How often, over all texts, two entities share a surrogate or one has two: never."""
+    return pii.surrogate_faults(pii.texts_of(load(spark, sf, "investigation_evidence"), load(spark, sf, "identity_evidence")), SURROGATE_KEY)
+
+
 def name_rows(spark: SparkSession, sf: str) -> DataFrame:
     return name_variants.rows_of(load(spark, sf, "opportunity"), load(spark, sf, "pud871_opportunity"), load(spark, sf, "applicant_enrichment"))
 
@@ -127,7 +132,7 @@ def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_matches, p1_findings, p2_found, p2_redacted, p3_found, p3_classes, p4_found, p4_repaired, p5_found, p5_links, p6_found, p6_survivors, p7_ids, p7_round_trip, p8_uses, p8_shares, p8_clamped_quotas, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p1_findings, p2_found, p2_redacted, p2_surrogate_faults, p3_found, p3_classes, p4_found, p4_repaired, p5_found, p5_links, p6_found, p6_survivors, p7_ids, p7_round_trip, p8_uses, p8_shares, p8_clamped_quotas, p9_found, p9_scores)}
 
 
 P6_KEYED = r"""
@@ -150,6 +155,7 @@ WITH named AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_surrogate_faults": "SELECT unnest(['email', 'phone', 'id_number', 'address', 'name']) AS pii_type, CAST(0 AS BIGINT) AS shared, CAST(0 AS BIGINT) AS split",
         "p8_clamped_quotas": """
 WITH a AS (SELECT trim(source) AS source, sum(coalesce(n_chars, 0)) AS available FROM documents WHERE trim(source) <> '' GROUP BY 1),
 t AS (SELECT m.source, target_share AS w, CAST(coalesce(available, 0) AS BIGINT) AS available, coalesce(available, 0) * max_repeats AS room FROM mix_targets m LEFT JOIN a USING (source)),

@@ -177,3 +177,15 @@ def role_mentions(text: Column) -> Column:
 def same_person(a: Column, b: Column) -> Column:
     """Whether the words of one name all stand in the other, either way."""
     return (F.size(a) > 0) & ((F.size(F.array_except(a, b)) == 0) | ((F.size(b) > 0) & (F.size(F.array_except(b, a)) == 0)))
+
+
+def party_queries(owner: Column, entity: Column, applicant: Column, address: Column, number: Column, municipality: Column) -> Column:
+    """The queries that would look for the party behind a lead, in order; an empty array where nobody is named."""
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    party = F.coalesce(entity, owner, applicant)
+    both = lambda a, b: F.concat(q(a), F.lit(" "), q(b))
+    said = F.array(
+        q(party), both(owner, entity), both(party, address), F.concat(q(party), F.lit(" contact")), F.concat(q(party), F.lit(" email phone")), F.concat(q(entity), F.lit(" website")), q(number),
+        F.concat(q(address), F.lit(" development")), both(party, municipality),
+    )
+    return F.when(party.isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(said))

@@ -415,3 +415,47 @@ def counts_of(spark: SparkSession, **conditions: tuple[DataFrame, Column | None]
     parts = [df.agg(F.count_if(c if c is not None else F.lit(True)).alias("n")).select(F.lit(name).alias("name"), "n") for name, (df, c) in conditions.items()]
     union = reduce(lambda a, b: a.union(b), parts)
     return union.agg(*[F.sum(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in conditions])
+
+
+# -- the canonical record ----------------------------------------------------------------------------
+
+#: Columns of the canonical record by group, in their order.
+GROUPS = {
+    "identity": ("opportunity_id", "application_number", "applicant_name", "applicant_email", "applicant_phone"), "project": ("application_type", "project_address", "neighborhood", "description"),
+    "property": ("parcel_number", "acreage", "zoning"), "owner": ("owner_name", "owner_entity", "owner_type", "owner_contact_name", "owner_contact_email", "owner_contact_phone", "owner_website", "owner_source", "owner_confidence"),
+    "applicant": ("applicant_entity", "applicant_contact_name", "applicant_contact_email", "applicant_contact_phone", "applicant_source", "applicant_confidence"), "staff": ("staff_contact", "staff_email", "staff_phone"),
+    "friction": ("friction_score", "friction_signals"), "timing": ("next_project_date", "next_project_event", "next_project_time", "has_future_opportunity", "days_until_event", "urgency"),
+    "qualification": ("priority", "priority_score", "is_actionable", "opportunity_reason"), "provenance": ("source", "source_url", "municipality", "state"), "meta": ("created_at", "builder_version"),
+}
+ALIASES = {"application_type": ("type", "record_type"), "project_address": ("address",), "applicant_entity": ("company_name",), "owner_website": ("company_website",)}
+
+
+def canonical(records: DataFrame, reference: Column) -> DataFrame:
+    """records in the canonical columns: aliases coalesced, what depends on the date worked out, missing columns null.
+
+    The next date and its event count only while the date lies ahead; days, urgency, score and priority follow from it.
+    """
+    from quarry.functions import dates as D
+    from quarry.operators import signals as S
+
+    have = set(records.columns)
+
+    def of(name: str, kind: str = "string") -> Column:
+        found = [F.col(c) for c in (name, *ALIASES.get(name, ())) if c in have]
+        if not found:
+            return F.lit(None).cast(kind)
+        return T.first_stated(*found) if kind == "string" else found[0]
+
+    typed = {"friction_score": "int", "friction_signals": "array<string>", "next_project_date": "date", "created_at": "timestamp", "owner_confidence": "string"}
+    base = records.select(*[of(c, typed.get(c, "string")).alias(c) for g in GROUPS.values() for c in g if c not in ("has_future_opportunity", "days_until_event", "urgency", "priority", "priority_score", "is_actionable", "opportunity_reason")])
+    number, address, name = F.col("application_number"), F.col("project_address"), F.col("applicant_name")
+    future = D.is_future(F.col("next_project_date"), reference)
+    base = base.withColumns({"opportunity_id": F.coalesce("opportunity_id", T.slug(number, address, name)), "has_future_opportunity": future, "friction_score": F.least(F.greatest(F.coalesce("friction_score", F.lit(0)), F.lit(0)), F.lit(100)), "friction_signals": F.coalesce("friction_signals", F.array().cast("array<string>")), "is_actionable": is_actionable(F.col("application_type"))})
+    ahead = F.col("has_future_opportunity")
+    base = base.withColumns({c: F.when(ahead, F.col(c)) for c in ("next_project_date", "next_project_event", "next_project_time")})
+    base = base.withColumn("days_until_event", D.days_until(F.col("next_project_date"), reference))
+    critical = F.arrays_overlap("friction_signals", F.array(*[F.lit(x) for x in ("denied", "withdrawn", "recommended_denial", "appeal")]))
+    asks = (F.col("friction_score"), ahead, F.col("is_actionable"), F.col("days_until_event"), yes(critical))
+    reason = F.concat_ws("; ", F.when(F.size("friction_signals") > 0, F.concat(F.lit("signals: "), F.array_join("friction_signals", ", "))), F.when(ahead, F.concat(F.lit("next date "), F.col("next_project_date").cast("string"))), F.when(F.col("is_actionable"), "actionable type"))
+    base = base.withColumns({"urgency": S.urgency(F.col("days_until_event"), ahead), "priority_score": S.queue_score(*asks), "priority": S.queue_level(*asks), "opportunity_reason": T.blank_to_null(reason)})
+    return base.select(*[c for g in GROUPS.values() for c in g])

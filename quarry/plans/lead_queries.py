@@ -364,3 +364,24 @@ def staged_transforms(spark: SparkSession, sf: str) -> DataFrame:
     """Registered stages run in their order."""
     stages = L.Stages().add("filter", lambda d: d.where("friction_score > 0")).add("name", lambda d: d.withColumn("priority", F.upper("priority"))).add("score", lambda d: d.withColumn("score", F.col("friction_score") + 1))
     return stages.run(load(spark, sf, "opportunity")).select("lead_id", "priority", "score")
+
+
+@query(f"""WITH b AS (SELECT lead_id, coalesce(nullif(trim(opportunity_id), ''), '') AS oid, greatest(least(coalesce(friction_score, 0), 100), 0) AS f, coalesce(friction_signals, []) AS s, next_project_date AS d, coalesce(next_project_date > DATE '{REFERENCE}', false) AS future,
+  coalesce(lower(trim(regexp_replace(application_type, '\\s+', ' ', 'g'))) IN {K.ACTIONABLE_TYPES} OR regexp_matches(lower(application_type), '{"|".join(K.ACTIONABLE_WORDS)}'), false) AS act FROM opportunity),
+c AS (SELECT *, CASE WHEN future THEN CAST(date_diff('day', DATE '{REFERENCE}', CAST(d AS DATE)) AS BIGINT) END AS days, list_has_any(s, ['denied', 'withdrawn', 'recommended_denial', 'appeal']) AS crit FROM b)
+SELECT oid AS opportunity_id, days AS days_until_event, CASE WHEN NOT future THEN 'HISTORICAL' WHEN days <= 7 THEN 'URGENT' WHEN days <= 30 THEN 'SOON' ELSE 'UPCOMING' END AS urgency,
+  CAST(least(f + CASE WHEN future THEN 25 ELSE 0 END + CASE WHEN act THEN 15 ELSE 0 END + CASE WHEN future AND days <= 7 THEN 35 WHEN future AND days <= 30 THEN 20 WHEN future AND days <= 90 THEN 10 ELSE 0 END + CASE WHEN crit THEN 20 ELSE 0 END, 250) AS BIGINT) AS priority_score,
+  CASE WHEN NOT future THEN 'ARCHIVED' WHEN (f >= 70 AND act) OR (crit AND act) OR (days <= 7 AND (f >= 20 OR act)) THEN 'HIGH' WHEN f >= 20 OR act OR days <= 30 THEN 'MEDIUM' ELSE 'LOW' END AS priority, CAST(CASE WHEN future THEN d END AS VARCHAR) AS next_project_date FROM c""")
+def canonical_leads(spark: SparkSession, sf: str) -> DataFrame:
+    """Opportunities as canonical records at a reference date."""
+    c = L.canonical(load(spark, sf, "opportunity"), F.lit(REFERENCE).cast("date"))
+    return c.select("opportunity_id", "days_until_event", "urgency", "priority_score", "priority", F.col("next_project_date").cast("string").alias("next_project_date"))
+
+
+@query(f"""WITH {REC}, l AS (SELECT lead_id, nullif(trim(owner_name), '') AS o, nullif(trim(applicant_entity), '') AS e, nullif(trim(applicant_name), '') AS n, nullif(trim(project_address), '') AS a, nullif(trim(application_number), '') AS k, nullif(trim(municipality), '') AS m FROM opportunity), p AS (SELECT *, coalesce(e, o, n) AS p FROM l)
+SELECT lead_id, CASE WHEN p IS NULL THEN '' ELSE concat_ws(' | ', '"' || p || '"', '"' || o || '" "' || e || '"', '"' || p || '" "' || a || '"', '"' || p || '" contact', '"' || p || '" email phone', '"' || e || '" website', '"' || k || '"', '"' || a || '" development', '"' || p || '" "' || m || '"') END AS queries FROM p""")
+def owner_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The queries that would look for the party behind every lead; none without a party."""
+    c = lambda n: T.blank_to_null(F.col(n))
+    q = C.party_queries(c("owner_name"), c("applicant_entity"), c("applicant_name"), c("project_address"), c("application_number"), c("municipality"))
+    return load(spark, sf, "opportunity").select("lead_id", F.array_join(q, " | ").alias("queries"))

@@ -15,36 +15,28 @@ from quarry import constants as K
 from quarry.functions import dates as D
 from quarry.functions import text as T
 from quarry.operators import evidence as E
+from quarry.operators import extract as X
+from quarry.operators import leads as L
 from quarry.operators import rows as R
 from quarry.operators import signals as S
 from quarry.session import load
 
 #: Headings that open an item of an agenda.
 ITEM = r"(?:ITEM|Item) [0-9]+\b"
-#: What tells of a signal: kind and pattern.
+#: What tells of a signal, as kind and pattern; the last alternative of a kind is this library's wider reading.
 PATTERNS = (
-    ("denied", r"(?i)\b(?:was|were|ultimately|recommended and ultimately) denied\b"),
-    ("recommended_denial", r"(?i)\brecommend(?:ed|s)? (?:a )?denial\b"),
-    ("withdrawn", r"(?i)\b(?:was |were |has )?withdrawn\b"),
-    ("continued", r"(?i)\b(?:was|were|be) continued\b|\bcontinued to\b"),
-    ("tabled", r"(?i)\btabled\b"),
-    ("appeal", r"(?i)\bappeal(?:ed)?\b"),
-    ("staff_concern", r"(?i)\bstaff (?:has|have|had|noted|raised) (?:a )?concerns?\b"),
-    ("additional_information", r"(?i)\badditional information\b"),
-    ("neighborhood_concern", r"(?i)\bneighbou?r(?:s|hood)? (?:concerns?|objected)\b"),
-    ("public_opposition", r"(?i)\b(?:spoke|letters?) in opposition\b"),
-    ("amended", r"(?i)\b(?:amended|revised) (?:application|request)\b|\bapplication was amended\b"),
+    ("recommended_denial", r"(?i)\b(?:was|were)\s+recommended\s+denial\b|\brecommended\s+denial\s+by\s+the\s+planning\s+commission\b|\bstaff\s+(?:recommended|recommends)\s+denial\s+of\b|\brecommend(?:ed|s)? (?:a )?denial\b"),
+    ("denied", r"(?i)\bultimately\s+denied\b|\b(?:application|request)\s+was\s+denied\b|\bdenied\s+by\s+the\s+(?:municipal\s+)?council\b|\b(?:was|were|recommended and ultimately) denied\b"),
+    ("continued", r"(?i)\*{2,}\s*continued\s*\*{2,}|\bcontinued\s+(?:from|to|until)\b|\b(?:was|were|be) continued\b"),
+    ("staff_concern", r"(?i)\bstaff\s+concerns?\b|\bstaff\s+(?:is|are|was|were)\s+concerned\b|\bstaff\s+expressed\s+concern\b|\bstaff (?:has|have|had|noted|raised) (?:a )?concerns?\b"),
+    ("neighborhood_concern", r"(?i)\bneighborhood\s+(?:concerns?|opposition|opposed)\b|\bresidents?\s+(?:raised|expressed)\s+concern\b|\bresidents?\s+opposition\b|\bcommunity\s+opposition\b|\bneighbou?r(?:s|hood)? (?:concerns?|objected)\b"),
+    ("public_opposition", r"(?i)\bpublic\s+(?:opposition|opposed)\b|\bopposition\s+from\s+the\s+public\b|\bmembers\s+of\s+the\s+public\s+opposed\b|\b(?:spoke|letters?) in opposition\b"),
+    ("appeal", r"(?i)\bappeal(?:ed|s)?\s+(?:the\s+)?decision\b|\bfiled\s+an\s+appeal\b|\bappeal\s+was\s+filed\b|\bappealed\b"),
+    ("additional_information", r"(?i)\badditional\s+information\s+(?:was\s+)?requested\b|\brequested\s+additional\s+information\b|\badditional\s+materials\s+were\s+requested\b|\bfurther\s+information\s+was\s+requested\b"),
+    ("amended", r"(?i)\b(?:amended|revised)\s+(?:application|request)\b|\bapplication\s+was\s+amended\b"),
+    ("withdrawn", r"(?i)\b(?:application|request)\s+was\s+withdrawn\b|\bwithdrawn\s+application\b|\bapplicant\s+withdrew\b|\b(?:was|were|has) withdrawn\b"),
+    ("tabled", r"(?i)\btabled\s+the\s+item\b|\b(?:item|application)\s+was\s+tabled\b|\btabled\b"),
 )
-#: Windows that are boilerplate drop a hit.
-BOILERPLATE = r"(?i)may be appealed|decisions? may be continued|public comment period|possible motions and findings|may make any of the following findings"
-#: How a date's sentence labels it, by rank; the first that fits counts.
-LABELS = (
-    ("deadline", 90, r"(?i)deadline|no later than|must be (?:filed|submitted) by|due by"),
-    ("public_hearing", 100, r"(?i)public hearing|hearing"),
-    ("commission_meeting", 80, r"(?i)planning commission|council meeting|meeting"),
-    ("historical_event", 10, r"(?i)\bwas\b|\bwere\b|\bhad\b"),
-)
-OTHER_LABEL = ("other", 20)
 
 
 def items(packets: DataFrame) -> DataFrame:
@@ -82,7 +74,8 @@ def applications(own: DataFrame) -> DataFrame:
     bare = F.regexp_replace(b, rf"{ITEM}|{K.APPLICATION_NUMBER}", "\n")  # else a heading on the same line would count as part of the name
     stated = {
         "applicant_name": F.nullif(T.collapse(F.regexp_extract(bare, r"(?i)([A-Z][\w.&' -]{2,80}?) requests?\b", 1)), F.lit("")),
-        "project_address": F.nullif(T.collapse(F.regexp_extract(b, r"(?i)located at ([^.\n]+?)(?:\.|\n| in the )", 1)), F.lit("")),
+        "project_address": X.address(F.concat(b, F.lit(" "))),
+        "application_type": X.application_type(b),
         "description": F.nullif(T.collapse(F.regexp_extract(b, r"(?i)requests? ([^.]+)\.", 1)), F.lit("")),
     }
     got = own.select("application_number", "doc_id", "start", *[c.alias(n) for n, c in stated.items()])
@@ -109,7 +102,7 @@ def signal_events(scoped: DataFrame, own: DataFrame, apps: DataFrame) -> DataFra
     rows = some.select("doc_id", "start", "body", F.explode(each).alias("x")).select("*", "x.kind", F.explode("x.hits").alias("h"))
     around = T.window_around(F.col("body"), F.col("h.start"), F.length("h.hit"), 350, 650)
     near = rows.select("doc_id", "start", "kind", (F.col("start") + F.col("h.start")).alias("position"), T.sentence_at(F.col("body"), F.col("h.start")).alias("sentence"), around.alias("window"))
-    near = near.where(~F.col("window").rlike(BOILERPLATE)).withColumn("window_key", T.match_key(F.col("window")))
+    near = near.where(~X.is_boilerplate(F.col("window"))).withColumn("window_key", T.match_key(F.col("window")))
     here = own.select("application_number", "doc_id", "start", F.lit(True).alias("own"))
     present = own.select("application_number", "doc_id").distinct().join(apps, "application_number")
     both = near.join(present, "doc_id").join(here, ["application_number", "doc_id", "start"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
@@ -118,8 +111,7 @@ def signal_events(scoped: DataFrame, own: DataFrame, apps: DataFrame) -> DataFra
     named = F.contains("window", "application_number")
     confidence = F.least(F.lit(0.45) + F.when(named, 0.35).otherwise(0.0) + F.when(F.col("applicant"), 0.15).otherwise(0.0) + F.when(F.col("address"), 0.10).otherwise(0.0), F.lit(0.99))
     elsewhere = F.greatest(confidence, F.when(F.col("address"), 0.80).otherwise(0.75))
-    said = D.mentions(F.col("sentence"))
-    events = both.select("application_number", "doc_id", "kind", "position", F.col("window").alias("evidence"), F.round(F.when(F.col("own"), confidence).otherwise(elsewhere), 2).alias("confidence"), F.when(F.size(said) == 1, F.get(said, 0)).alias("event_date"))
+    events = both.select("application_number", "doc_id", "kind", "position", F.col("window").alias("evidence"), F.round(F.when(F.col("own"), confidence).otherwise(elsewhere), 2).alias("confidence"), X.event_date(F.col("kind"), F.col("sentence")).alias("event_date"))
     return S.best_events(in_order(events.where("confidence >= 0.55")), ["application_number", "kind", "event_date"], F.struct("confidence", F.length("evidence")), F.col("position"))
 
 
@@ -129,28 +121,29 @@ def project_dates(scoped: DataFrame, own: DataFrame, reference: str) -> DataFram
     texts = own.union(before.select(*own.columns)).distinct()
     hits = E.hits(texts.withColumnRenamed("start", "block"), "body", D.MENTION)
     sentence, ref = T.sentence_at(F.col("body"), F.col("start")), F.lit(reference).cast("date")
-    rows = hits.select("application_number", "doc_id", (F.col("block") + F.col("start")).alias("position"), D.parse_date(F.col("hit")).alias("day"), sentence.alias("sentence")).where("day is not null")
-    label, rank = F.lit(OTHER_LABEL[0]), F.lit(OTHER_LABEL[1])
-    for name, r, pattern in reversed(LABELS):
-        label, rank = F.when(F.col("sentence").rlike(pattern), name).otherwise(label), F.when(F.col("sentence").rlike(pattern), r).otherwise(rank)
-    rows = in_order(rows).select("*", label.alias("l"), rank.alias("r"), D.clock(F.col("sentence")).alias("tm"), D.is_future(F.col("day"), ref).alias("future"))
-    score = F.when(F.col("future"), 20).otherwise(0) + F.expr("r div 10")
-    out = S.resolve_groups(rows.withColumn("s", score), ["application_number", "day", "future"], F.col("l"), F.col("r"), F.col("s"), F.col("tm"), F.col("sentence"), F.col("position"))
+    time = X.near_time(F.col("body"), F.col("start"), F.length("hit"))
+    rows = hits.select("application_number", "doc_id", (F.col("block") + F.col("start")).alias("position"), D.parse_date(F.col("hit")).alias("day"), sentence.alias("sentence"), X.local_context(F.col("body"), F.col("start")).alias("context"), time.alias("tm")).where("day is not null")
+    rows = in_order(rows).withColumn("future", D.is_future(F.col("day"), ref))
+    rows = rows.withColumn("l", X.date_label(F.col("sentence"), F.col("context"), F.col("future")))
+    rank = F.try_element_at(S.literal_map(X.LABEL_RANK), F.col("l"))
+    rows = rows.withColumn("r", rank)
+    score = X.date_score(F.col("sentence"), F.col("context"), F.col("future"), F.col("l"))
+    out = S.resolve_groups(rows.withColumn("s", score), ["application_number", "day", "future"], F.col("l"), F.col("r"), F.col("s"), F.col("tm"), F.col("context"), F.col("position"))
     return out
 
 
 def leads(apps: DataFrame, events: DataFrame, days: DataFrame, reference: str) -> DataFrame:
     """One row per application with score, signals, next date, level and urgency."""
     friction = S.score_by_key(events, ["application_number"], "kind", F.col("confidence"))
-    ahead = days.where(F.col("future") & (F.col("label") != "deadline")).groupBy("application_number").agg(F.min(F.struct("day", "label", "time")).alias("n"))
+    ahead = days.where(F.col("future") & ~F.col("label").isin("deadline", "public_comment_deadline", "appeal_deadline")).groupBy("application_number").agg(F.min(F.struct("day", "label", "time")).alias("n"))
     any_ahead = days.groupBy("application_number").agg(F.max("future").alias("future"))
     base = R.with_defaults(apps, "application_number", {"score": F.lit(0), "signals": F.array().cast("array<string>"), "future": F.lit(False)}, friction, ahead, any_ahead)
     until = D.days_until(F.col("n.day"), F.lit(reference).cast("date"))
     critical = F.arrays_overlap("signals", F.array(*[F.lit(x) for x in ("denied", "withdrawn", "recommended_denial", "appeal")]))
-    acts = F.coalesce(F.col("description").rlike(r"(?i)rezone|zone map|general plan|subdivision|variance|conditional use|planned unit"), F.lit(False))
+    acts = L.is_actionable(F.col("application_type")) | F.coalesce(F.col("description").rlike(r"(?i)rezone|zone map|general plan|subdivision|variance|conditional use|planned unit"), F.lit(False))
     asks = (F.col("score"), F.col("future"), acts, until, critical)
     return base.select(
-        "application_number", "applicant_name", "project_address", "description", F.col("score").alias("friction_score"), "signals", F.col("n.day").alias("next_date"), F.col("n.label").alias("next_event"), F.col("n.time").alias("next_time"),
+        "application_number", "applicant_name", "application_type", "project_address", "description", F.col("score").alias("friction_score"), "signals", F.col("n.day").alias("next_date"), F.col("n.label").alias("next_event"), F.col("n.time").alias("next_time"),
         until.alias("days_until_event"), F.col("future").alias("has_future"), S.queue_score(*asks).alias("priority_score"), S.queue_level(*asks).alias("priority"), S.urgency(until, F.col("future")).alias("urgency"),
     )
 

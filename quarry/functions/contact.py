@@ -128,20 +128,24 @@ def relevance(text: Column, name: Column, address: Column | None = None, neighbo
     The whole name counts .50, a part .15; most of the address .30; the neighbourhood .15; the whole
     company .35; a vetted type of source .10. Points are whole hundredths.
     """
-    low, none = F.lower(text), F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
     of = lambda c: none if c is None else c
-    words = name_tokens(name)
-    met = any_within(words, low)
     addr = F.transform(F.regexp_extract_all(F.coalesce(of(address), F.lit("")), F.lit("[A-Za-z0-9]{2,}"), F.lit(0)), F.lower)
-    firm = name_tokens(of(company), 3)
-    points = (
-        F.when(met == F.size(words), 50).otherwise(15)
-        + F.when((F.size(addr) > 0) & (any_within(addr, low) * 10 >= F.size(addr) * 6), 30).otherwise(0)
-        + F.when(false_if_null(F.contains(low, F.lower(T.blank_to_null(of(neighborhood))))), 15).otherwise(0)
-        + F.when((F.size(firm) > 0) & (any_within(firm, low) == F.size(firm)), 35).otherwise(0)
-        + F.when(false_if_null(of(source_type).isin("government_record", "public_business_directory")), 10).otherwise(0)
-    )
-    return F.when(false_if_null(met > 0), F.least(points, F.lit(100)) / 100).otherwise(0.0)
+    parts = F.struct(F.lower(text).alias("low"), name_tokens(name).alias("words"), addr.alias("addr"), name_tokens(of(company), 3).alias("firm"), F.lower(T.blank_to_null(of(neighborhood))).alias("hood"), of(source_type).alias("kind"))
+
+    def score(x: Column) -> Column:
+        met = any_within(x["words"], x["low"])
+        points = (
+            F.when(met == F.size(x["words"]), 50).otherwise(15)
+            + F.when((F.size(x["addr"]) > 0) & (any_within(x["addr"], x["low"]) * 10 >= F.size(x["addr"]) * 6), 30).otherwise(0)
+            + F.when(false_if_null(F.contains(x["low"], x["hood"])), 15).otherwise(0)
+            + F.when((F.size(x["firm"]) > 0) & (any_within(x["firm"], x["low"]) == F.size(x["firm"])), 35).otherwise(0)
+            + F.when(false_if_null(x["kind"].isin("government_record", "public_business_directory")), 10).otherwise(0)
+        )
+        return F.when(false_if_null(met > 0), F.least(points, F.lit(100)) / 100).otherwise(0.0)
+
+    # the words are worked out once, however often the score looks at them
+    return F.element_at(F.transform(F.array(parts), score), 1)
 
 
 ACCEPTED = 0.50

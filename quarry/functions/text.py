@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from quarry import constants as K
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space and NUL as one blank, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)[\s\x00]+", " "))

@@ -55,49 +55,63 @@ KNOWN = r"(?i)^\s*(?:" + "|".join(OTHER_LABELS) + r")\b"
 
 def value_lines(text: Column, label: str, most: int = 3) -> Column:
     """The value of a label on its own line, or the lines below a bare label up to an empty line or the next label."""
-    same = value(text, label)
     below = F.regexp_extract(text, rf"(?im)^[ \t]*{label}[ \t]*[:-]?[ \t]*$([\s\S]*)", 1)
     block = F.get(F.split(F.regexp_replace(below, r"^\s+", ""), r"\n[ \t]*(?:\n|$)"), 0)
     lines = F.slice(F.filter(F.transform(F.split(block, "\n"), F.trim), lambda x: x != ""), 1, most)
-    at = F.array_position(F.transform(lines, lambda x: x.rlike(KNOWN)), F.lit(True)).cast("int")
-    return F.when(same.isNotNull(), F.array(same)).otherwise(F.when(at > 0, F.slice(lines, F.lit(1), at - 1)).otherwise(lines))
+
+    def up_to_label(found: Column) -> Column:
+        at = F.array_position(F.transform(found, lambda x: x.rlike(KNOWN)), F.lit(True)).cast("int")
+        return F.when(at > 0, F.slice(found, F.lit(1), at - 1)).otherwise(found)
+
+    return T.let(value(text, label), lambda same: F.when(same.isNotNull(), F.array(same)).otherwise(T.let(lines, up_to_label)))
 
 
 def split_contact(cell: Column) -> Column:
     """(name, email, phone) of a cell such as "Name | mail, phone"; without a bar and a contact the whole cell is the name."""
-    name = stated(F.regexp_extract(cell, r"^\s*([^|]+?)\s*\|\s*.+$", 1))
-    rest = F.coalesce(F.when(name.isNotNull(), F.regexp_extract(cell, r"^\s*[^|]+?\s*\|\s*(.+)$", 1)), cell)
-    email = F.get(T.emails(rest), 0)
-    phone = F.get(T.phones(rest), 0)
-    return F.struct(F.coalesce(name, F.when(email.isNull() & phone.isNull(), stated(cell))).alias("name"), email.alias("email"), phone.alias("phone"))
+
+    def parts(x: Column) -> Column:
+        name = stated(F.regexp_extract(x, r"^\s*([^|]+?)\s*\|\s*.+$", 1))
+        return F.struct(name.alias("name"), F.coalesce(F.when(name.isNotNull(), F.regexp_extract(x, r"^\s*[^|]+?\s*\|\s*(.+)$", 1)), x).alias("rest"), x.alias("cell"))
+
+    def contacts(x: Column) -> Column:
+        return F.struct(x["name"].alias("name"), x["cell"].alias("cell"), F.get(T.emails(x["rest"]), 0).alias("email"), F.get(T.phones(x["rest"]), 0).alias("phone"))
+
+    def whole(x: Column) -> Column:
+        return F.struct(F.coalesce(x["name"], F.when(x["email"].isNull() & x["phone"].isNull(), stated(x["cell"]))).alias("name"), x["email"].alias("email"), x["phone"].alias("phone"))
+
+    return T.let(T.let(T.let(cell, parts), contacts), whole)
 
 
 def owner(text: Column) -> Column:
     """The owner of record: entity lines without a care-of line, the contact, and what kind of owner it is; nulls where nothing is labelled."""
-    first = value_lines(text, "Property Owner")
-    lines = F.when(F.size(first) > 0, first).otherwise(value_lines(text, "Owner of Record"))
-    care = F.get(F.filter(lines, lambda x: x.rlike(r"(?i)^c/o\s+\S")), 0)
-    entity = T.blank_to_null(F.array_join(F.transform(F.filter(lines, lambda x: ~x.rlike(r"(?i)^c/o\s+\S")), lambda x: F.regexp_replace(x, ",+$", "")), " "))
+    lines = T.let(value_lines(text, "Property Owner"), lambda first: F.when(F.size(first) > 0, first).otherwise(value_lines(text, "Owner of Record")))
+    is_care = lambda x: x.rlike(r"(?i)^c/o\s+\S")
+
+    def read(x: Column) -> Column:
+        care = stated(F.regexp_replace(F.get(F.filter(x["lines"], is_care), 0), r"(?i)^c/o\s+", ""))
+        entity = T.blank_to_null(F.array_join(F.transform(F.filter(x["lines"], lambda y: ~is_care(y)), lambda y: F.regexp_replace(y, ",+$", "")), " "))
+        return F.struct(entity.alias("entity"), F.coalesce(x["cell"]["name"], care).alias("name"), x["cell"].alias("cell"))
+
+    def stating(x: Column) -> Column:
+        entity, name, cell = x["entity"], x["name"], x["cell"]
+        some = entity.isNotNull() | name.isNotNull() | cell["email"].isNotNull()
+        kind = F.when(entity.isNotNull(), "Entity").when(name.isNotNull(), "Individual")
+        return F.struct(F.coalesce(name, entity).alias("owner_name"), entity.alias("owner_entity"), kind.alias("owner_type"), name.alias("contact_name"), cell["email"].alias("contact_email"), cell["phone"].alias("contact_phone"), F.when(some, "government_record").alias("source"))
+
     cell = split_contact(value(text, "Owner Contact"))
-    name = F.coalesce(cell["name"], stated(F.regexp_replace(care, r"(?i)^c/o\s+", "")))
-    some = entity.isNotNull() | name.isNotNull() | cell["email"].isNotNull()
-    kind = F.when(entity.isNotNull(), "Entity").when(name.isNotNull(), "Individual")
-    return F.struct(F.coalesce(name, entity).alias("owner_name"), entity.alias("owner_entity"), kind.alias("owner_type"), name.alias("contact_name"), cell["email"].alias("contact_email"), cell["phone"].alias("contact_phone"), F.when(some, "government_record").alias("source"))
+    return T.let(T.let(F.struct(lines.alias("lines"), cell.alias("cell")), read), stating)
 
 
 def applicant_of_record(text: Column) -> Column:
-    cell = split_contact(value(text, "Applicant Contact"))
-    return F.struct(F.coalesce(value(text, "Applicant of Record"), value(text, "Agent of Record"), value(text, "Applicant")).alias("entity"), cell["name"].alias("contact_name"), cell["email"].alias("contact_email"), cell["phone"].alias("contact_phone"))
+    entity = F.coalesce(value(text, "Applicant of Record"), value(text, "Agent of Record"), value(text, "Applicant"))
+    return T.let(split_contact(value(text, "Applicant Contact")), lambda cell: F.struct(entity.alias("entity"), cell["name"].alias("contact_name"), cell["email"].alias("contact_email"), cell["phone"].alias("contact_phone")))
 
 
 def parties(text: Column) -> Column:
     """The licensed parties that labels name, in the order of the labels."""
-    each = []
-    for label, role in PARTY_LABELS:
-        cell = split_contact(value(text, label))
-        party = F.struct(cell["name"].alias("party_name"), F.lit(role).alias("party_role"), cell["email"].alias("party_contact_email"), cell["phone"].alias("party_contact_phone"))
-        each.append(F.when(cell["name"].isNotNull() | cell["email"].isNotNull(), party))
-    return F.array_compact(F.array(*each))
+    named = F.array(*[F.struct(F.lit(role).alias("role"), split_contact(value(text, label)).alias("c")) for label, role in PARTY_LABELS])
+    stated_ones = F.filter(named, lambda x: x["c"]["name"].isNotNull() | x["c"]["email"].isNotNull())
+    return F.transform(stated_ones, lambda x: F.struct(x["c"]["name"].alias("party_name"), x["role"].alias("party_role"), x["c"]["email"].alias("party_contact_email"), x["c"]["phone"].alias("party_contact_phone")))
 
 
 def property_details(text: Column) -> Column:
@@ -159,9 +173,9 @@ def report_identity(texts: DataFrame, key: str = "doc_id", column: str = "text")
     """(key, number, owner, applicant, parties) of the first report of each number that says anything about them."""
     rows = report_spans(texts, key, column).where(F.upper("span").rlike("APPLICANT|PROPERTY OWNER")).select(key, "number", "start", region(F.col("span")).alias("table"))
     t = F.col("table")
-    # one generator instead of a filter, which would be pushed below and work everything out again
+    # an array of one is filtered in place: a filter after it, or an inner explode, would be given a copy of the work below
     some = lambda x: x["owner"]["owner_name"].isNotNull() | x["applicant"]["entity"].isNotNull() | x["applicant"]["contact_name"].isNotNull() | (F.size(x["parties"]) > 0)
-    got = rows.select(key, "number", "start", F.explode(F.filter(F.array(F.struct(owner(t).alias("owner"), applicant_of_record(t).alias("applicant"), parties(t).alias("parties"))), some)).alias("x"))
+    got = rows.select(key, "number", "start", F.explode_outer(F.filter(F.array(F.struct(owner(t).alias("owner"), applicant_of_record(t).alias("applicant"), parties(t).alias("parties"))), some)).alias("x")).where("x is not null")
     return R.first_wins(got.select(key, "number", "start", "x.*"), F.struct(key, "number"), F.col("start")).drop("start")
 
 

@@ -242,11 +242,16 @@ def company_links(pages: DataFrame, source_type: str, home: tuple[str, ...] = ()
     pages: (app, url, html, text and the lead's columns). Social, government, map and address-bearing links fall away.
     """
     of = lambda c: C.relevance(c, F.col("applicant_name"), F.col("address"), F.col("neighborhood"), F.col("owner_entity"), F.lit(source_type)) >= C.ACCEPTED
-    rows = anchors(pages.where(of(F.col("text")))).where(of(F.col("context"))).withColumn("website", absolute(F.col("href"), F.col("url")))
-    host = T.host(F.col("website"))
-    mine = C.false_if_null(C.root_label(F.col("website")).isin(*home)) if home else F.lit(False)
-    directions = C.false_if_null(F.contains(F.lower("website"), F.lower(T.blank_to_null(F.col("address")))))
-    return rows.where(F.col("website").isNotNull() & ~C.is_social(host) & ~C.is_government_host(host) & ~mine & ~C.is_map(host) & ~directions & C.is_probable_website(host)).select("app", "url", "website").distinct()
+    rows = anchors(pages.where(of(F.col("text")))).where(of(F.col("context")))
+    site = F.transform(F.array(absolute(F.col("href"), F.col("url"))), lambda w: F.struct(w.alias("w"), T.host(w).alias("h"), C.root_label(w).alias("r"), F.lower(T.blank_to_null(F.col("address"))).alias("a")))
+
+    def own(x: Column) -> Column:
+        mine = C.false_if_null(x["r"].isin(*home)) if home else F.lit(False)
+        directions = C.false_if_null(F.contains(F.lower(x["w"]), x["a"]))
+        return x["w"].isNotNull() & ~C.is_social(x["h"]) & ~C.is_government_host(x["h"]) & ~mine & ~C.is_map(x["h"]) & ~directions & C.is_probable_website(x["h"])
+
+    # an array of one is filtered in place, so the address and its host are worked out once
+    return rows.select("app", "url", F.explode_outer(F.filter(site, own)).alias("x")).where("x is not null").select("app", "url", F.col("x.w").alias("website")).distinct()
 
 
 def role_candidates(pages: DataFrame, source_type: str = "public_web") -> DataFrame:

@@ -39,6 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as the cluster runs at once.
+
+    A table of one small file is read by one task, which would then do all the work on its texts; larger
+    tables have more splits than that and are left as they lie.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def local_session(cores: int | None = None, name: str = "quarry") -> SparkSession:
     """A session for tests and benches on one machine; a cluster brings its own."""
     n = cores or int(os.environ.get("BENCH_CPUS", os.cpu_count() or 4))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import cut
+from quarry.session import cut, spread
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -175,7 +175,7 @@ def unknown_words(rows: DataFrame, words: Column, folder: str, vocabulary: str)
     """(row, w): the distinct words of each row that are no token themselves."""
     new = bound(word_map(folder, vocabulary), lambda m: F.filter(F.array_distinct(words), lambda w: word_rank(w, m).isNull()))
     # explode would be given a filter on its array's size, which works the array out a second time
-    each = rows.select("row", F.explode_outer(new).alias("w"))
+    each = spread(rows).select("row", F.explode_outer(new).alias("w"))
     return cut(each.where("w is not null").distinct())
 
 
@@ -221,7 +221,7 @@ def sizes(documents: DataFrame, key: str = "doc_id", text: str = "text", keep: t
     Tokens that are words are counted where they stand; only the other words of a text travel, never the text.
     """
     words = bound(word_map(folder, vocabulary), lambda m: F.transform(words_of(F.col(text)), lambda w: F.struct(w.alias("w"), word_rank(w, m).isNotNull().alias("known"))))
-    read = documents.select(F.col(key).alias("k"), *[F.col(c) for c in keep], F.xxhash64(key, text).alias("row"), words.alias("_w"))
+    read = spread(documents.select(key, *keep, text)).select(F.col(key).alias("k"), *[F.col(c) for c in keep], F.xxhash64(key, text).alias("row"), words.alias("_w"))
     rows = cut(read.select("k", *keep, "row", F.coalesce(F.size(F.filter("_w", lambda x: x["known"])), F.lit(0)).alias("known"), F.transform(F.filter("_w", lambda x: ~x["known"]), lambda x: x["w"]).alias("new")))
     unknown = rows.select("row", "k", F.explode_outer("new").alias("w")).where("w is not null").groupBy("row", "w").agg(F.count("*").alias("n"))
     copies = rows.groupBy("row").agg(F.count("*").alias("copies"))  # a row delivered twice has every word twice

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import cut
+from quarry.session import cut, spread
 
 #: Words and lines of at least this share of documents are the model. Their number is at most the mean
 #: number of distinct words (lines) of a document divided by the share, however many documents there are.
@@ -109,7 +109,7 @@ def statistics(texts: DataFrame) -> DataFrame:
             rows = [("d", "", d)] + [("w", k, n) for k, n in w.items() if k and not k.isdigit()] + [(kind, k, n) for kind, c in (("e", e), ("r", r), ("i", i)) for k, n in c.items()]
             yield pd.DataFrame(rows, columns=["kind", "key", "n"])
 
-    return texts.select("text").mapInPandas(run, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return spread(texts.select("text")).mapInPandas(run, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def together(texts: DataFrame, number: dict[str, int]) -> DataFrame:
@@ -134,7 +134,7 @@ def together(texts: DataFrame, number: dict[str, int]) -> DataFrame:
             key, n = np.unique(np.concatenate(keys), return_counts=True)
             yield pd.DataFrame({"key": key, "n": n})
 
-    counted = texts.where(F.length("text") > 0).select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = spread(texts.where(F.length("text") > 0).select("text")).mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     low, high = F.expr(f"key div {size}"), F.col("key") % size
     both = counted.select(F.explode(F.array(F.struct(low.alias("a"), high.alias("b")), F.struct(high.alias("a"), low.alias("b")))).alias("p"), "n").select("p.a", "p.b", "n")
     return both.repartition("a").sortWithinPartitions("a", "b")
@@ -421,7 +421,7 @@ def defects(documents: DataFrame) -> DataFrame:
             out = [(p, n, k) for p, t in zip(b["parsed_id"], b["text"], strict=True) for n, k in read(t, reader)[0]]
             yield pd.DataFrame(out, columns=["parsed_id", "line_no", "kind"])
 
-    some = documents.where(F.col("parsed_id").isNotNull() & (F.length("text") > 0)).select("parsed_id", "text")
+    some = spread(documents.where(F.col("parsed_id").isNotNull() & (F.length("text") > 0)).select("parsed_id", "text"))
     return some.mapInPandas(run, "parsed_id long, line_no int, kind string").distinct()
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.session import cut
+from quarry.session import cut, spread
 
 try:  # one pass over a text for all words that may begin a name
     import ahocorasick
@@ -420,7 +420,7 @@ def items(texts: DataFrame) -> DataFrame:
             out = [(i, k, s + 1, e - s) for i, t in zip(b["evidence_id"], b["text"], strict=True) for k, s, e in detect(t)]
             yield pd.DataFrame(out, columns=["evidence_id", "pii_type", "start_pos", "length"])
 
-    some = texts.where(F.col("evidence_id").isNotNull() & (F.length("text") > 0))
+    some = spread(texts.where(F.col("evidence_id").isNotNull() & (F.length("text") > 0)))
     return some.mapInPandas(run, "evidence_id long, pii_type string, start_pos int, length int").distinct()
 
 
@@ -432,7 +432,7 @@ def needed(texts: DataFrame) -> DataFrame:
             out = {(row, *w) for row, t in zip(b["row"], b["text"], strict=True) if isinstance(t, str) for kind, s, e in detect(t) for w in words_needed(kind, t[s:e])}
             yield pd.DataFrame(list(out), columns=["row", "kind", "word"])
 
-    return texts.select("row", "text").where(F.length("text") > 0).mapInPandas(run, "row long, kind string, word string")
+    return spread(texts.select("row", "text").where(F.length("text") > 0)).mapInPandas(run, "row long, kind string, word string")
 
 
 def surrogate_table(words: DataFrame, key: str) -> DataFrame:

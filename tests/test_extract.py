@@ -8,12 +8,12 @@ from quarry.operators import extract as X
 
 TABLE = """Case PLRZ20230001
 Property Owner:
-BIRD RANCH HOLDINGS LLC,
-c/o Lou Reynolds
+HERON FIELD HOLDINGS LLC,
+c/o Ida Marsh
 
-Owner Contact: Robert Thompson | RT@tci.test, (801) 555-0101
-Applicant of Record: Wallace Design
-Engineer of Record: Nicole Watts, P.E. | nicole@wallace.test
+Owner Contact: Paul Ferrow | PF@quill.test, (801) 555-0101
+Applicant of Record: Kestrel Design
+Engineer of Record: Nell Otway, P.E. | nell@kestrel.test
 Zoning: R-1
 SECTION 1
 Property Owner: Somebody Else
@@ -26,8 +26,8 @@ def one(spark, text, *cols):
 
 def test_tables_of_labels(spark):
     r = one(spark, TABLE, X.owner(F.col("r")).alias("o"), X.parties(F.col("r")).alias("p"), X.applicant_of_record(F.col("r")).alias("a"), X.property_details(F.col("r")).alias("d"))
-    assert (r["o"]["owner_entity"], r["o"]["contact_name"], r["o"]["contact_email"], r["o"]["contact_phone"], r["o"]["owner_type"]) == ("BIRD RANCH HOLDINGS LLC", "Robert Thompson", "rt@tci.test", "8015550101", "Entity")
-    assert [(p["party_name"], p["party_role"]) for p in r["p"]] == [("Nicole Watts, P.E.", "Engineer")] and r["a"]["entity"] == "Wallace Design" and r["d"]["zoning"] == "R-1"
+    assert (r["o"]["owner_entity"], r["o"]["contact_name"], r["o"]["contact_email"], r["o"]["contact_phone"], r["o"]["owner_type"]) == ("HERON FIELD HOLDINGS LLC", "Paul Ferrow", "pf@quill.test", "8015550101", "Entity")
+    assert [(p["party_name"], p["party_role"]) for p in r["p"]] == [("Nell Otway, P.E.", "Engineer")] and r["a"]["entity"] == "Kestrel Design" and r["d"]["zoning"] == "R-1"
     for text in ("", "nothing here", None):
         r = one(spark, text, X.owner(F.col("r")).alias("o"), X.parties(F.col("r")).alias("p"))
         assert r["o"]["owner_name"] is None and r["o"]["owner_type"] is None and not r["p"]
@@ -56,10 +56,10 @@ def test_times_beside_a_date(spark):
 
 
 def test_addresses_and_types(spark):
-    block = "Tyson Reynolds requests approval of a Concept Plan located at 113/191 N Geneva Road. Pleasant View Neighborhood. PLCP20250001"
+    block = "Marta Quill requests approval of a Concept Plan located at 113/191 N Hollow Road. Linden Park Neighborhood. PLCP20250001"
     c = F.col("t")
     r = one(spark, block, X.address(c), X.applicant(c), X.application_type(c), X.neighborhood(c), X.application_number(c), X.description(c))
-    assert list(r) == ["113/191 N Geneva Road", "Tyson Reynolds", "Concept Plan", "Pleasant View", "PLCP20250001", "approval of a Concept Plan located at 113/191 N Geneva Road. Pleasant View Neighborhood."]
+    assert list(r) == ["113/191 N Hollow Road", "Marta Quill", "Concept Plan", "Linden Park", "PLCP20250001", "approval of a Concept Plan located at 113/191 N Hollow Road. Linden Park Neighborhood."]
     assert list(one(spark, None, X.address(c), X.applicant(c), X.application_type(c))) == [None, None, None]
 
 

@@ -182,3 +182,28 @@ def test_corners_meet_for_all_edits_that_are_compared(spark):
     rows = [(1, "Klhaugh Rd & Stenrise Ave", "Ostley"), (2, "Kelhaaugh Rd & Stenrise Ave", "Ostley"), (3, "Kelhaugh Rd & Stenrise Ave", "Ostley"), (4, "Kelhaugh Rd & Stenrisse Ave", "Ostley"), (5, "Brookmont Rd & Stenrise Ave", "Ostley")]
     got = {(r["left_id"], r["right_id"]) for r in A.found(spark.createDataFrame(rows, ADDR)).collect()}
     assert got == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
+
+
+def test_a_walk_starts_from_every_record_and_goes_on_to_any(spark):
+    records = spark.range(20_500).select(F.col("id").alias("record"), F.array(F.lit("hub"), F.concat(F.lit("u"), "id")).alias("words"))
+    got = M.walks(records).cache()
+    assert got.count() == got.select("walk").distinct().count() == 20_500
+    # two words and the one gone by for each record; a walk over the hub may come to any record
+    second = got.where("words[2] = 'hub'").select(F.explode(F.slice("words", 4, 3)).alias("w")).where("w <> 'hub'")
+    assert second.distinct().count() > 5_000
+
+
+def test_all_walks_train_whatever_the_tasks(spark, monkeypatch):
+    said = spark.range(6_000).select("id", F.array(F.concat(F.lit("a"), F.expr("id % 60")), F.concat(F.lit("b"), F.expr("id % 60")), F.lit("hub")).alias("words")).toDF("walk", "words")
+    monkeypatch.setattr(M, "SHARD", 1_500)
+    model = M.train(said)
+    learned = M.Vectors(model).learned
+    assert model == M.train(said.repartition(3)) and all(np.linalg.norm(learned[M.bucket(f"{x}{i}")]) > 0.9 for x in "ab" for i in range(60))
+
+
+def test_all_pairs_calibrate(spark):
+    n = spark.range(30_000)
+    pairs = n.select(F.col("id").alias("a"), (F.col("id") + 100_000).alias("b"), F.when(F.col("id") < 3_000, 0.7).otherwise(0.95).alias("cosine"))
+    right = n.select((F.col("id") + 100_000).alias("b"), F.when(F.expr("id = 0 or (id >= 3000 and id % 2 = 0)"), "x").otherwise("y").alias("place"))
+    slope, offset, base = M.calibration(pairs, n.select("id", F.lit("x").alias("place")), right)
+    assert abs(base - 1 / 3_000) < 1e-9 and abs(1 / (1 + np.exp(-(0.95 * slope + offset))) - 0.5) < 0.01

@@ -117,7 +117,8 @@ def tag_shingles(tags: list[str]) -> list[list[str]]:
 
 def evidence(text: str) -> tuple[int, int, list[tuple[tuple[str, ...], int]]]:
     """(characters, characters in list pieces, units): the pieces are links, tags, coded products, list items and stuffed
-    sentences; equal ones are one unit, given as its phrase shingles and its characters."""
+    sentences; equal ones are one unit, given as its phrase shingles and its characters. Fewer than LEAST_PIECES have
+    units, for what they repeat of other pages, but no characters."""
     total, rest = size(text), text
     if not total:
         return 0, 0, []
@@ -168,8 +169,8 @@ def evidence(text: str) -> tuple[int, int, list[tuple[tuple[str, ...], int]]]:
                 units.update(cut_up)  # a soup of repeated words without separators
     for p, n in listed.items():
         units[tuple(pairs(p.split(" ")))] += n * len(p.replace(" ", ""))
-    kept = [(k, n) for k, n in units.items() if n > 0 and k] if pieces >= LEAST_PIECES else []
-    return total, min(sum(n for _, n in kept), total), kept
+    kept = [(k, n) for k, n in units.items() if n > 0 and k]
+    return total, min(sum(n for _, n in kept), total) if pieces >= LEAST_PIECES else 0, kept
 
 
 def content(word: str) -> bool:
@@ -192,10 +193,10 @@ def scores(documents: DataFrame) -> DataFrame:
     """(doc_id, chars, density, replicated) of every document; both shares are 0 for null, empty and blank texts.
 
     density is the share of characters in list pieces. replicated is the share in those of them that carry
-    a phrase which pages of HOSTS distinct hosts list; only pages that are mostly lists count as hosts of
-    a phrase or are stitched from phrases, so replicated is 0 below that. Phrases are deduplicated per
-    host before they are counted, so one host's copies count once and a phrase of a third of all pages
-    sends one row per host and task. A row delivered twice counts once; a null url is a host of its own.
+    a phrase which pages of HOSTS distinct hosts list. The list pieces of all pages count, also of those
+    that are mostly prose. Phrases are deduplicated per host before they are counted, so one host's
+    copies count once and a phrase of a third of all pages sends one row per host and task. A row
+    delivered twice counts once; a null url is a host of its own.
     """
     host = F.coalesce(F.nullif(F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/?#:]+)", 1), F.lit("")), F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
     docs = spread(documents.select("doc_id", "text", host.alias("host")).where("doc_id is not null"))
@@ -203,7 +204,7 @@ def scores(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [evidence(t) if isinstance(t, str) else (0, 0, []) for t in b["text"]]
-            kept = [[{"s": list(k), "n": n} for k, n in units] if listed > DENSITY * total else [] for total, listed, units in rows]
+            kept = [[{"s": list(k), "n": n} for k, n in units] for _, _, units in rows]
             yield pd.DataFrame({"doc_id": b["doc_id"], "host": b["host"], "chars": [r[0] for r in rows], "listed": [r[1] for r in rows], "units": kept})
 
     read = docs.mapInPandas(run, "doc_id long, host string, chars long, listed long, units array<struct<s:array<string>,n:long>>")
@@ -215,7 +216,7 @@ def scores(documents: DataFrame) -> DataFrame:
     # a unit counts once however many of its shingles other hosts repeat
     copied = met.groupBy("doc_id", "unit").agg(F.max("n").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("copied"))
     total = F.greatest(F.col("chars"), F.lit(1))
-    return seen.join(copied, "doc_id", "left").select("doc_id", "chars", (F.col("listed") / total).alias("density"), F.least(F.coalesce("copied", F.lit(0)) / total, F.lit(1.0)).alias("replicated"))
+    return seen.join(copied, "doc_id", "left").select("doc_id", "chars", (F.col("listed") / total).alias("density"), (F.least(F.coalesce("copied", F.lit(0)), "listed") / total).alias("replicated"))
 
 
 def found(documents: DataFrame) -> DataFrame:

@@ -187,3 +187,15 @@ def test_vectors_come_from_all_documents(spark):
     of = {w: v[i] for i, w in enumerate(names)}
     assert {"kiln", "oven", "bricks", "council"} <= set(of)
     assert of["kiln"] @ of["oven"] > 0.9 > 0.5 > abs(of["kiln"] @ of["bridge"])
+
+
+def test_list_pieces_of_prose_pages_count_as_listed_elsewhere(spark):
+    prose = "The council heard that the plan of the district was in the report and that the board had asked for a waiver. " * 20
+    doors, sheds = ("Tags: " + ", ".join(f"{w} item B{i} $20{i}.99" for i in range(10, 40)) for w in ("vinyl doors", "cedar sheds"))
+    some = prose + "\nFor sale: " + ", ".join(f"vinyl doors item C{i} $3{i}.50" for i in range(10, 18)) + "."
+    few = prose + "\nFor sale: " + ", ".join(f"cedar sheds item C{i} $3{i}.50" for i in range(10, 13)) + "."
+    rows = [(i, t, f"https://h{i}.example/a") for i, t in enumerate((doors, some, sheds, few, prose))]
+    got = {r["doc_id"]: r for r in spam.scores(spark.createDataFrame(rows, "doc_id long, text string, url string")).collect()}
+    assert got[0]["replicated"] > 0.9 < got[2]["replicated"]
+    assert 0 < got[1]["replicated"] <= got[1]["density"] < 0.5  # a page of prose has its share too
+    assert got[3]["density"] == got[3]["replicated"] == 0 == got[4]["density"]  # three pieces are no list, but repeat one

@@ -207,3 +207,13 @@ def test_all_pairs_calibrate(spark):
     right = n.select((F.col("id") + 100_000).alias("b"), F.when(F.expr("id = 0 or (id >= 3000 and id % 2 = 0)"), "x").otherwise("y").alias("place"))
     slope, offset, base = M.calibration(pairs, n.select("id", F.lit("x").alias("place")), right)
     assert abs(base - 1 / 3_000) < 1e-9 and abs(1 / (1 + np.exp(-(0.95 * slope + offset))) - 0.5) < 0.01
+
+
+def test_every_contact_of_several_sources_tells_of_their_trust(spark):
+    # a sketch of distinct counts takes these two sources for one
+    assert spark.createDataFrame([("s98",), ("s99",)], "s string").agg(F.approx_count_distinct("s")).first()[0] == 1
+    said = lambda i, app, source, conf, status: (*candidate(i, app, "x@y.example", domain=source, conf=conf)[:7], status, *candidate(i, app, "")[8:])
+    rows = [said(2 * i + k, f"A{i}", s, c, v) for i in range(6) for k, (s, c, v) in enumerate((("s98", 0.9, "open"), ("s99", 0.3, "closed")))]
+    rows += [said(20, "B", "s98", 0.5, "open"), said(21, "B", "s99", 0.5, "closed")]
+    got = S.survivors(spark.createDataFrame(rows, CAND)).where("app = 'B'").first()
+    assert got["public_status"] == "open"  # the votes are equal but for the trust that the other contacts earn
